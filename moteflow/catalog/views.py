@@ -29,10 +29,10 @@ def loc(spark: SparkSession, sf_dir: str, per_movie: int = TRACKS_PER_MOVIE) ->
     base = first.select(
         e.alias("row_id"), F.concat(F.lit("m"), F.expr(f"user_id div {per_movie}").cast("string")).alias("movie"),
         u.cast("int").alias("track_number"), "frame_number",
-        ((u * 97) % 256 + 1 + (e * 31 % 100) / F.lit(50.0) + ((f * 7) % 5) * F.lit(0.25)).alias("xMean"),
-        ((u * 61) % 256 + 1 + (e * 17 % 100) / F.lit(50.0) + ((f * 3) % 7) * F.lit(0.125)).alias("yMean"),
+        ((u * 97) % 256 + 1 + (e * 31 % 100) / F.lit(49.7) + ((f * 7) % 5) * F.lit(0.2471)).alias("xMean"),
+        ((u * 61) % 256 + 1 + (e * 17 % 100) / F.lit(48.3) + ((f * 3) % 7) * F.lit(0.1237)).alias("yMean"),
         (((u * 37) % 180 + (F.col("value") * 7) % 24) % 180).alias("angleDegrees"),
-        F.when(e % 23 != 5, (u * 13 % 40) - 20 + (e * 13 % 200) / F.lit(100.0) + f * F.lit(0.0625)
+        F.when(e % 23 != 5, (u * 13 % 40) - 20 + (e * 13 % 200) / F.lit(101.3) + f * F.lit(0.0613)
                + F.when(e % 29 == 0, F.lit(7.0)).otherwise(F.lit(0.0))).alias("zMicrons"),
         (F.lit(16) + (e % 60) / F.lit(10.0)).alias("lobeSeparationPixels"),
         (F.col("value") / F.lit(5.0) + 2).alias("minLobeSNR"),
@@ -63,10 +63,10 @@ loc AS (SELECT *, xMean - lobeSeparationPixels / 2e0 * cos(radians(angleDegrees)
     yMean + lobeSeparationPixels / 2e0 * sin(radians(angleDegrees)) AS y2
   FROM (SELECT e AS row_id, 'm' || CAST(u // {TRACKS_PER_MOVIE} AS VARCHAR) AS movie,
     CAST(u AS INTEGER) AS track_number, CAST(f AS INTEGER) AS frame_number,
-    (u * 97) % 256 + 1 + (e * 31 % 100) / 50e0 + ((f * 7) % 5) * 0.25e0 AS xMean,
-    (u * 61) % 256 + 1 + (e * 17 % 100) / 50e0 + ((f * 3) % 7) * 0.125e0 AS yMean,
+    (u * 97) % 256 + 1 + (e * 31 % 100) / 49.7e0 + ((f * 7) % 5) * 0.2471e0 AS xMean,
+    (u * 61) % 256 + 1 + (e * 17 % 100) / 48.3e0 + ((f * 3) % 7) * 0.1237e0 AS yMean,
     ((u * 37) % 180 + (value * 7) % 24) % 180 AS angleDegrees,
-    CASE WHEN e % 23 <> 5 THEN (u * 13 % 40) - 20 + (e * 13 % 200) / 100e0 + f * 0.0625e0
+    CASE WHEN e % 23 <> 5 THEN (u * 13 % 40) - 20 + (e * 13 % 200) / 101.3e0 + f * 0.0613e0
       + CASE WHEN e % 29 = 0 THEN 7e0 ELSE 0e0 END END AS zMicrons,
     16 + (e % 60) / 10e0 AS lobeSeparationPixels, value / 5e0 + 2 AS minLobeSNR,
     (u * 53) % 400 + 40 + value * 0.25e0 AS amplitude1,
@@ -128,8 +128,23 @@ def curve(spark: SparkSession) -> DataFrame:
     z = F.col("id") / F.lit(10.0) - 10
     return spark.range(0, 301).select(
         F.col("id").cast("int").alias("i"), z.alias("z"), (F.lit(20.0) + F.lit(5.0) * F.abs(z)).alias("angle"),
-        (F.lit(19.0) + z / 4).alias("sep"))
+        (F.lit(19.0) + z / F.lit(3.9) + z * z * F.lit(0.003)).alias("sep"))
 
 
 CURVE = """curve AS (SELECT CAST(i AS INTEGER) AS i, i / 10e0 - 10 AS z, 20e0 + 5e0 * abs(i / 10e0 - 10) AS angle,
-  19e0 + (i / 10e0 - 10) / 4 AS sep FROM range(0, 301) t(i))"""
+  19e0 + (i / 10e0 - 10) / 3.9e0 + (i / 10e0 - 10) * (i / 10e0 - 10) * 0.003e0 AS sep FROM range(0, 301) t(i))"""
+
+
+def cal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Localizations of a calibration scan: every bead turns with the plane (= frame)."""
+    e, f = F.col("row_id"), F.col("frame_number")
+    return loc(spark, sf_dir).withColumns({
+        "angleDegrees": F.pmod(f * F.lit(4.7) + (e * 29 % 160) / F.lit(11.3) - 7, F.lit(180.0)),
+        "lobeSeparationPixels": F.lit(16.0) + f * F.lit(0.11) + (e % 60) / F.lit(29.7),
+        "xMean": F.col("xMean") + F.lit(0.03) * f})
+
+
+CAL = """cal AS (SELECT * REPLACE (
+  ((frame_number * 4.7e0 + (row_id * 29 % 160) / 11.3e0 - 7) % 180 + 180) % 180 AS angleDegrees,
+  16e0 + frame_number * 0.11e0 + (row_id % 60) / 29.7e0 AS lobeSeparationPixels,
+  xMean + 0.03e0 * frame_number AS xMean) FROM loc)"""

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from moteflow.session import cut
+
 CELL = ["_cx", "_cy"]
 
 
@@ -62,3 +64,31 @@ def close_pairs(df: DataFrame, radius: float, on: list[str], x: str, y: str, id_
     first = F.col(f"a.{id_}") < F.col(f"b.{id_}")
     return out.select(*on, F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"),
                       F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def nearest_k(left: DataFrame, right: DataFrame, k: int, on: list[str], lxy: tuple[str, str], rxy: tuple[str, str],
+              left_id: str, distance: Column, radius: float, tie: str, extra: Column | None = None) -> DataFrame:
+    """The ``k`` nearest rows of ``right`` for each row of ``left`` within the same ``on`` (fewer when the
+    group has fewer). Radius joins with doubling radius: a row is finished once it has k partners no
+    farther than the radius, or all partners its group offers; only unfinished rows go on. ``distance``
+    may include further axes (it is at least the planar distance); ties go to the smaller ``tie``."""
+    avail = right.groupBy(*on).agg(F.count("*").alias("_avail"))
+    todo = cut(left.join(avail, on))
+    done: list[DataFrame] = []
+    r = float(radius)
+    while not todo.isEmpty():
+        pairs = near_join(todo, right, r, on, lxy, rxy, extra).withColumn("_d", distance)
+        best = cut(pairs.groupBy(*on, left_id).agg(
+            F.slice(F.array_sort(F.collect_list(F.struct(F.col("_d").alias("d"), F.col(tie).alias("t"),
+                    F.struct(*[F.col(c) for c in right.columns if c not in on]).alias("row")))), 1, k).alias("best"),
+            F.count_if(F.col("_d") <= r).alias("_in"), F.count("*").alias("_seen"), F.first("_avail").alias("_avail")))
+        final = best.where((F.col("_in") >= k) | (F.col("_seen") >= F.col("_avail") - (1 if extra is not None else 0)))
+        done.append(final.select(*on, left_id, F.posexplode("best").alias("rank", "b")))
+        todo = cut(todo.join(final.select(*on, left_id), on + [left_id], "left_anti"))
+        if extra is not None:  # a row whose only partner is itself has none
+            todo = todo.where(F.col("_avail") > 1)
+        r *= 2
+    out = done[0] if done else None
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return None if out is None else out.select(*on, left_id, (F.col("rank") + 1).alias("rank"), F.col("b.d").alias("distance"), F.col("b.row").alias("row"))
