@@ -4,6 +4,6 @@ import importlib
 
 from moteflow.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["drift", "pairs", "filters", "stats"]
+MODULES = ["drift", "pairs", "filters", "stats", "linking"]
 for _m in MODULES:
     importlib.import_module(f"moteflow.catalog.{_m}")

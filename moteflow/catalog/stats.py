@@ -124,7 +124,7 @@ def error_scale(spark, sf):
     return rounded(S.error_scale(V.loc(spark, sf), SCALE_AXES, min_pairs=15), "factor")
 
 
-_N = 77
+_N = 76
 _W = gauss_weights(1.0, 4)
 
 

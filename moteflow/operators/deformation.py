@@ -13,6 +13,7 @@ from moteflow.operators.filters import thin, upper_median
 from moteflow.plans.fit import fit_terms
 from moteflow.plans.quantile import exact_quantiles
 from moteflow.plans.spatial import nearest_k
+from moteflow.session import cut
 
 MIN_BEADS = 8
 MAX_FIT = 600
@@ -35,14 +36,15 @@ def nearest_spacing(beads: DataFrame, radius: float = 10.0) -> DataFrame:
 
 def median_plane(beads: DataFrame, passes: int = 3) -> DataFrame:
     """z = c0 + c1 x + c2 y per movie; beads beyond 3 robust SDs of all residuals leave for good."""
-    rows = beads.withColumn("_use", F.lit(True))
+    rows = cut(beads.withColumn("_use", F.lit(True)))
     terms = [F.lit(1.0), F.col("X"), F.col("Y")]
     coef = None
     for k in range(passes):
         coef = fit_terms(rows.where("_use"), ["movie"], terms, F.col("Z"))
         if k == passes - 1:
             break
-        res = rows.join(coef.select("movie", "coef"), "movie").withColumn("_r", F.abs(F.col("Z") - combine(terms, F.col("coef")))).drop("coef")
+        res = cut(rows.join(coef.select("movie", "coef"), "movie")
+                  .withColumn("_r", F.abs(F.col("Z") - combine(terms, F.col("coef")))).drop("coef"))
         mad = exact_quantiles(res, ["movie"], "_r", {"_mad": 0.5})
         rows = res.join(mad, "movie").withColumn("_use", F.col("_use") & (F.col("_r") < F.col("_mad") * 1.4826 * 3)).drop("_r", "_mad")
     return coef

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from moteflow.functions.field import combine
 from moteflow.plans.quantile import exact_quantiles
 from moteflow.session import cut
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve(gram: pd.Series, rhs: pd.Series) -> pd.Series:
     """Solution of each row's normal equations (minimum norm when singular)."""
     out = []
