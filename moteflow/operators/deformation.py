@@ -72,3 +72,150 @@ def grid_nodes(extent: DataFrame, plane: DataFrame, depth_shift: float = 0.0) ->
     y = F.col("ylo") + (F.col("yhi") - F.col("ylo")) * F.col("gy") / (F.col("ny") - 1)
     z = F.col("coef")[0] + F.col("coef")[1] * F.col("x") + F.col("coef")[2] * F.col("y") + F.lit(depth_shift) * (F.col("zhi") - F.col("zlo"))
     return g.withColumns({"x": x, "y": y}).select("movie", "gx", "gy", "x", "y", z.alias("z0"))
+
+
+# ------------------------------------------------------------------ interpolation
+
+def _kriging(dist2: np.ndarray, y: np.ndarray, noise: np.ndarray, ell: float, s2: float):
+    """Ordinary-kriging mean, weights and log marginal likelihood of one component (None when singular)."""
+    A = s2 * np.exp(-dist2 / (2 * ell * ell))
+    A[np.diag_indices_from(A)] = s2 + noise
+    try:
+        L = np.linalg.cholesky(A)
+    except np.linalg.LinAlgError:
+        return None
+    both = np.linalg.solve(L.T, np.linalg.solve(L, np.column_stack((np.ones(len(y)), y))))
+    mu = both[:, 1].sum() / both[:, 0].sum()
+    alpha = both[:, 1] - mu * both[:, 0]
+    lml = -0.5 * float((y - mu) @ alpha) - np.log(np.diag(L)).sum() - 0.5 * len(y) * math.log(2 * math.pi)
+    return mu, alpha, lml
+
+
+def _sq_dist(P: np.ndarray) -> np.ndarray:
+    d = P[:, None, :] - P[None, :, :]
+    return (d * d).sum(-1)
+
+
+def fit_lengths(disp: DataFrame, spacing: DataFrame, limit: int = MAX_FIT) -> DataFrame:
+    """Length scale (shared by the components) and amplitudes per movie by marginal likelihood. ``disp``
+    holds one frame's displacements per movie; each candidate length is a task of its own."""
+    d = thin(disp.where("uz IS NOT NULL AND Z IS NOT NULL"), ["movie"], "track_number", limit)
+    cand = d.join(spacing, "movie").withColumn("ell", F.explode(F.array(*[F.lit(f) for f in LENGTHS])) * F.col("spacing"))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("track_number")
+        out = {"movie": pdf["movie"].iloc[0], "ell": pdf["ell"].iloc[0], "lml": -np.inf, "s2x": np.nan, "s2y": np.nan, "s2z": np.nan, "n": len(pdf)}
+        if len(pdf) >= MIN_BEADS:
+            dist2, total = _sq_dist(pdf[["X", "Y", "Z"]].to_numpy(float)), 0.0
+            for c in "xyz":
+                u, v = pdf["u" + c].to_numpy(float), pdf["v" + c].to_numpy(float)
+                mid = np.sort(v)[len(v) >> 1]
+                v0 = max(u.var(ddof=1) - mid, 1e-6 * (1 + mid))
+                fits = [(k[2], f * v0) for f in AMPLITUDES if (k := _kriging(dist2, u, v, out["ell"], f * v0)) is not None]
+                if not fits:
+                    total = -np.inf
+                    break
+                best = max(fits, key=lambda t: t[0])
+                total += best[0]
+                out["s2" + c] = best[1]
+            out["lml"] = total
+        return pd.DataFrame([out])
+
+    scored = cand.groupBy("movie", "ell").applyInPandas(kernel, "movie string, ell double, lml double, s2x double, s2y double, s2z double, n long")
+    return scored.where("lml > double('-Infinity')").groupBy("movie").agg(
+        F.max_by(F.struct("ell", "s2x", "s2y", "s2z", "lml"), F.struct("lml", -F.col("ell"))).alias("b")).select("movie", "b.*")
+
+
+NODE_SCHEMA = ("movie string, frame_number int, gx int, gy int, x double, y double, z0 double, ux double, uy double, uz double, density double, "
+               + ", ".join(f"g{i}{j} double" for i in range(3) for j in range(3)))
+
+
+def _nodes(g: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    nx, ny = int(g["nx"]), int(g["ny"])
+    gy, gx = np.divmod(np.arange(nx * ny), nx)
+    x, y = g["xlo"] + (g["xhi"] - g["xlo"]) * gx / (nx - 1), g["ylo"] + (g["yhi"] - g["ylo"]) * gy / (ny - 1)
+    c = g["coef"]
+    return gx, gy, np.column_stack((x, y, c[0] + c[1] * x + c[2] * y + g["shift"]))
+
+
+def _field(Q: np.ndarray, P: np.ndarray, weights: np.ndarray, mu: np.ndarray, ell: float) -> dict[str, np.ndarray]:
+    d = Q[:, None, :] - P[None, :, :]
+    e = np.exp(-(d * d).sum(-1) / (2 * ell * ell))
+    out = {"density": e.sum(1)}
+    for i, c in enumerate("xyz"):
+        w = e * weights[:, i]
+        out["u" + c] = mu[i] + w.sum(1)
+        for j in range(3):
+            out[f"g{i}{j}"] = -(w * d[:, :, j]).sum(1) / ell ** 2
+    return out
+
+
+def predict_field(beads: DataFrame, grid: DataFrame, weighted: bool) -> DataFrame:
+    """Interpolated displacement and its gradient on the grid of every (movie, frame).
+
+    ``grid`` is one row per movie (extent, plane coefficients, shift, ell, s2x..s2z). One frame's beads are
+    one group (a frame is bounded by the sensor); bead-node pairs live only inside the task. With
+    ``weighted`` the beads carry wx, wy, wz and mux, muy, muz; otherwise weights are solved here.
+    """
+    j = beads.join(grid, "movie")
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf.iloc[0]
+        if not weighted and len(pdf) < MIN_BEADS:
+            return pd.DataFrame(columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+        P = pdf[["X", "Y", "Z"]].to_numpy(float)
+        if weighted:
+            w, mu = pdf[["wx", "wy", "wz"]].to_numpy(float), g[["mux", "muy", "muz"]].to_numpy(float)
+        else:
+            dist2 = _sq_dist(P)
+            k = [_kriging(dist2, pdf["u" + c].to_numpy(float), pdf["v" + c].to_numpy(float), g["ell"], g["s2" + c]) for c in "xyz"]
+            if any(v is None for v in k):
+                return pd.DataFrame(columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+            w, mu = np.column_stack([v[1] * g["s2" + c] for v, c in zip(k, "xyz")]), np.array([v[0] for v in k])
+        gx, gy, Q = _nodes(g)
+        out = pd.DataFrame({"movie": g["movie"], "frame_number": g["frame_number"], "gx": gx, "gy": gy, "x": Q[:, 0], "y": Q[:, 1], "z0": Q[:, 2]})
+        parts = [_field(Q[i:i + 512], P, w, mu, g["ell"]) for i in range(0, len(Q), 512)]
+        for c in parts[0]:
+            out[c] = np.concatenate([p[c] for p in parts])
+        return out[[c.split()[0] for c in NODE_SCHEMA.split(", ")]]
+
+    return j.groupBy("movie", "frame_number").applyInPandas(kernel, NODE_SCHEMA)
+
+
+def strain(field: DataFrame) -> DataFrame:
+    """In-plane strain measures and tilt from the displacement gradient g[i][j] = d u_i / d x_j."""
+    a, b, c, d = F.col("g00"), F.col("g01"), F.col("g10"), F.col("g11")
+    hyp = lambda p, q: F.sqrt(p * p + q * q)
+    u = [F.col("ux"), F.col("uy"), F.col("uz")]
+    return field.withColumns({
+        "lateral": hyp(u[0], u[1]), "magnitude": F.sqrt(u[0] * u[0] + u[1] * u[1] + u[2] * u[2]), "areal_strain_pct": (a + d) * 100,
+        "shear_strain_pct": hyp((a - d) / 2, (b + c) / 2) * 100, "tilt_deg": F.degrees(F.atan(hyp(F.col("g20"), F.col("g21"))))})
+
+
+def movie_grid(beads: DataFrame, depth_shift: float = 0.0) -> DataFrame:
+    """Extent, node counts and median plane of one frame's beads per movie."""
+    b = cut(beads)
+    e = grid_extent(b).join(median_plane(b).select("movie", "coef"), "movie")
+    return e.select("movie", "xlo", "xhi", "ylo", "yhi", "nx", "ny", "coef", (F.lit(depth_shift) * (F.col("zhi") - F.col("zlo"))).alias("shift"))
+
+
+def deformation_series(beads: DataFrame, reference: int, depth_shift: float = 0.0) -> DataFrame:
+    """Displacement and strain field on the median plane of the reference frame for every frame."""
+    from moteflow.operators.stats import busiest_frame, displacement
+    beads = cut(beads)
+    disp = cut(displacement(beads, F.col("frame_number") == reference).where("uz IS NOT NULL AND Z IS NOT NULL"))
+    ref = beads.where((F.col("frame_number") == reference) & F.col("Z").isNotNull())
+    last = beads.groupBy("movie").agg(F.max("frame_number").alias("_last"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_last") / 60))
+    busy = busiest_frame(disp.join(last, "movie"), reference, step)
+    one = disp.join(busy.select("movie", F.col("frame").alias("frame_number")), ["movie", "frame_number"], "left_semi")
+    fit = fit_lengths(one, nearest_spacing(one.select("movie", "track_number", "X", "Y", "Z")))
+    grid = cut(movie_grid(ref, depth_shift).join(fit, "movie"))
+    out = strain(predict_field(disp, grid, weighted=False))
+    return out.select("movie", "frame_number", "gx", "gy", "x", "y", "z0", "ux", "uy", "uz", "density", "areal_strain_pct", "shear_strain_pct", "tilt_deg",
+                      (F.col("density") >= DENSITY_MIN).alias("near_beads"))
+
+
+def colour_range(field: DataFrame, quantity: str) -> DataFrame:
+    """Largest absolute value near beads per movie, at least 0.001."""
+    return field.where("near_beads").groupBy("movie").agg(F.greatest(F.max(F.abs(quantity)), F.lit(1e-3)).alias("cmax"))
