@@ -13,7 +13,7 @@ GRID = f"""ext AS (SELECT movie, min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y
 ext2 AS (SELECT movie, x0 - 0.03e0*greatest(x1-x0, 1) AS xlo, x1 + 0.03e0*greatest(x1-x0, 1) AS xhi, y0 - 0.03e0*greatest(y1-y0, 1) AS ylo, y1 + 0.03e0*greatest(y1-y0, 1) AS yhi FROM ext),
 ext3 AS (SELECT *, CAST(greatest(8, least(60, floor(44*(yhi-ylo)/(xhi-xlo) + 0.5e0))) AS INTEGER) AS ny FROM ext2),
 nodes AS (SELECT movie, gx, gy, xlo + (xhi-xlo)*gx/43e0 AS x, ylo + (yhi-ylo)*gy/(ny-1) AS y, c0 + c1*(xlo + (xhi-xlo)*gx/43e0) + c2*(ylo + (yhi-ylo)*gy/(ny-1)) AS z0
-  FROM (SELECT movie, xlo, xhi, ylo, yhi, ny, unnest(range(0, ny)) AS gy FROM ext3), range(0, 44) g(gx) JOIN pc2 USING (movie))"""
+  FROM (SELECT movie, xlo, xhi, ylo, yhi, ny, unnest(range(0, ny)) AS gy FROM ext3) r JOIN pc2 USING (movie), range(0, 44) g(gx))"""
 
 
 @register("kernel_field", f"""WITH {V.LOC}, {BEADS}, {PLANE}, {GRID},

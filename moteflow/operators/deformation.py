@@ -64,16 +64,6 @@ def grid_extent(beads: DataFrame, nx: int = 44) -> DataFrame:
                           "nz": F.greatest(F.lit(4), F.least(F.lit(14), half_up(ratio("z")) + 4)).cast("int")})
 
 
-def grid_nodes(extent: DataFrame, plane: DataFrame, depth_shift: float = 0.0) -> DataFrame:
-    """Nodes on the (shifted) median plane: movie, gx, gy, x, y, z0. At most 44 x 60 per movie."""
-    g = extent.join(plane.select("movie", "coef"), "movie") \
-        .withColumn("gx", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).withColumn("gy", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
-    x = F.col("xlo") + (F.col("xhi") - F.col("xlo")) * F.col("gx") / (F.col("nx") - 1)
-    y = F.col("ylo") + (F.col("yhi") - F.col("ylo")) * F.col("gy") / (F.col("ny") - 1)
-    z = F.col("coef")[0] + F.col("coef")[1] * F.col("x") + F.col("coef")[2] * F.col("y") + F.lit(depth_shift) * (F.col("zhi") - F.col("zlo"))
-    return g.withColumns({"x": x, "y": y}).select("movie", "gx", "gy", "x", "y", z.alias("z0"))
-
-
 # ------------------------------------------------------------------ interpolation
 
 def _kriging(dist2: np.ndarray, y: np.ndarray, noise: np.ndarray, ell: float, s2: float):
@@ -100,7 +90,7 @@ def fit_lengths(disp: DataFrame, spacing: DataFrame, limit: int = MAX_FIT) -> Da
     """Length scale (shared by the components) and amplitudes per movie by marginal likelihood. ``disp``
     holds one frame's displacements per movie; each candidate length is a task of its own."""
     d = thin(disp.where("uz IS NOT NULL AND Z IS NOT NULL"), ["movie"], "track_number", limit)
-    cand = d.join(spacing, "movie").withColumn("ell", F.explode(F.array(*[F.lit(f) for f in LENGTHS])) * F.col("spacing"))
+    cand = d.join(spacing, "movie").withColumn("_f", F.explode(F.array(*[F.lit(f) for f in LENGTHS]))).withColumn("ell", F.col("_f") * F.col("spacing"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("track_number")
