@@ -148,3 +148,42 @@ CAL = """cal AS (SELECT * REPLACE (
   ((frame_number * 4.7e0 + (row_id * 29 % 160) / 11.3e0 - 7) % 180 + 180) % 180 AS angleDegrees,
   16e0 + frame_number * 0.11e0 + (row_id % 60) / 29.7e0 AS lobeSeparationPixels,
   xMean + 0.03e0 * frame_number AS xMean) FROM loc)"""
+
+
+IMAGE = 128
+
+
+def bead_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Localizations drawn as 128 x 128 px frames (six tracks per movie): two Gaussian lobes per bead whose
+    separation follows the calibration curve at their angle, a flat background and camera noise."""
+    import numpy as np
+    import pandas as pd
+
+    r = loc(spark, sf_dir, per_movie=6)
+    scale = F.lit((IMAGE - 40) / 262.0)
+    r = r.select("movie", F.col("frame_number").alias("frame"), (F.col("xMean") * scale + 20).alias("x"), (F.col("yMean") * scale + 20).alias("y"),
+                 "angleDegrees", (F.lit(60.0) + F.col("track_number") * 13 % 140).alias("amp"))
+    packed = r.groupBy("movie", "frame").agg(F.array_sort(F.collect_list(F.struct("x", "y", "angleDegrees", "amp"))).alias("beads"))
+
+    def draw(batches):
+        yy, xx = np.mgrid[:IMAGE, :IMAGE].astype(float)
+        for pdf in batches:
+            out = []
+            for m, f, beads in zip(pdf["movie"], pdf["frame"], pdf["beads"]):
+                rng = np.random.default_rng([sum(map(ord, m)) * 31 + int(m[1:]), int(f)])
+                img = 104.0 + rng.normal(0, 2, (IMAGE, IMAGE))
+                for b in beads:
+                    a, sep = np.radians(b["angleDegrees"]), 16.5 + b["angleDegrees"] / 45.0
+                    for s in (-0.5, 0.5):
+                        cx, cy = b["x"] + s * sep * np.cos(a), b["y"] + s * sep * np.sin(a)
+                        img += b["amp"] * np.exp(-((xx - cx) ** 2 + (yy - cy) ** 2) / (2 * 2.2 ** 2))
+                out.append(img.ravel().astype(np.float32))
+            yield pd.DataFrame({"movie": pdf["movie"], "frame": pdf["frame"], "height": IMAGE, "width": IMAGE, "pixels": out})
+
+    return packed.mapInPandas(draw, "movie string, frame int, height int, width int, pixels array<float>")
+
+
+def bead_curve(spark: SparkSession) -> DataFrame:
+    """The calibration curve the drawn beads follow."""
+    i = F.col("id")
+    return spark.range(0, 361).select(i.cast("int").alias("i"), (i / F.lit(6.0) - 30).alias("z"), (i / F.lit(2.0)).alias("angle"), (F.lit(16.5) + i / F.lit(90.0)).alias("sep"))

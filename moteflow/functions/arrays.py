@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once. A column that is used inside a lambda is otherwise
+    inlined there by the optimizer and evaluated again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def array_median(a: Column) -> Column:
     """Median of a numeric array without NULLs; NULL when empty."""
-    s = F.array_sort(a)
-    n = F.size(s)
-    lo = F.get(s, F.floor((n - 1) / 2).cast("int"))
-    hi = F.get(s, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (lo + hi) / 2)
+    def mid(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+    return let(F.array_sort(a), mid)
 
 
 def array_mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    return let(a, lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
 
 
 def theil_sen(points: Column) -> Column:

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from moteflow.functions.arrays import let
+
 GRID_DEG = 0.05
 
 
@@ -59,8 +61,7 @@ def angle_to_z(rows: DataFrame, curve: DataFrame, sep: Column | None, limits: tu
     look = F.broadcast(angle_lookup(curve).withColumnRenamed("bin", "_bin"))
     out = out.join(look, "_bin", "left")
     r = F.coalesce(roots(F.col(angle)), F.array().cast("array<struct<key:double,z:double,sep:double>>"))
-    out = out.withColumn("_r", r)
-    r = F.filter("_r", lambda x, i: (i == 0) | (x["key"] != F.element_at("_r", F.greatest(i, F.lit(1)))["key"]))
+    r = let(r, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["key"] != F.get(a, i - 1)["key"])))
     if limits is not None:
         kept = r
         r = F.filter(kept, lambda x: x["z"].between(*limits))

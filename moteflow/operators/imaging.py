@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from moteflow.functions import pairs as P
+from moteflow.functions.arrays import array_median, let
 from moteflow.operators import calibration as K, cleaning as C
 from moteflow.operators.linking import match_pairs
 from moteflow.plans import image_np as I
@@ -28,6 +29,10 @@ BLOCK = 64
 
 # ------------------------------------------------------------------ frames as arrays and pixels
 
+def _plus(g: float):
+    return lambda a, b: a + b * F.lit(g)
+
+
 def seed_average(frames: DataFrame, sigma: float = 1.0) -> DataFrame:
     """``seed``: Gaussian average of each frame with its neighbours within 2 sigma, cut off and renormalized
     at the ends of the movie. Movies are cut into blocks of frames with a small overlap, so a long movie is
@@ -44,10 +49,11 @@ def seed_average(frames: DataFrame, sigma: float = 1.0) -> DataFrame:
             at = F.lag("frame", -shift).over(w) if shift < 0 else F.lead("frame", shift).over(w)
             nb = F.lag("pixels", -shift).over(w) if shift < 0 else F.lead("pixels", shift).over(w)
             ok = at == f + shift
-            acc = F.when(ok, F.zip_with(acc, nb, lambda a, b, g=g: a + b * F.lit(g))).otherwise(acc)
+            acc = F.when(ok, F.zip_with(acc, nb, _plus(g))).otherwise(acc)
             tot = tot + F.when(ok, F.lit(g)).otherwise(0.0)
     out = halo.withColumns({"_acc": acc, "_tot": tot}).where(F.col("_b") == blk(f))
-    return out.withColumn("seed", F.transform("_acc", lambda v: v / F.col("_tot"))).drop("_acc", "_tot", "_b")
+    norm = let(F.col("_tot"), lambda t: F.transform("_acc", lambda v: v / t))
+    return out.withColumn("seed", norm).drop("_acc", "_tot", "_b")
 
 
 def pixel_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,25 +130,23 @@ def spaced_frames(frames: DataFrame, n: int = 12) -> DataFrame:
     return last.select("movie", F.explode(F.array_distinct(at)).alias("frame"))
 
 
-def noise_of_pixels(pixels: Column, height: Column, width: Column) -> Column:
-    """Camera noise of a frame inside its row: clipped RMS of vertical differences on every 2nd pixel."""
-    rows = F.sequence(F.lit(0), F.floor((height + 1) / 2).cast("int") - 2)
-    cols = F.sequence(F.lit(0), F.floor((width + 1) / 2).cast("int") - 1)
-    d = F.flatten(F.transform(rows, lambda i: F.transform(cols, lambda j: F.get(pixels, (i * 2 + 2) * width + j * 2) - F.get(pixels, i * 2 * width + j * 2))))
+def frame_noise(frames: DataFrame) -> DataFrame:
+    """Camera noise of each frame inside its row: clipped RMS of vertical differences on every 2nd pixel."""
+    px, h, w = F.col("pixels"), F.col("height"), F.col("width")
+    rows = F.sequence(F.lit(0), F.floor((h + 1) / 2).cast("int") - 2)
+    cols = F.sequence(F.lit(0), F.floor((w + 1) / 2).cast("int") - 1)
+    diffs = F.flatten(F.transform(rows, lambda i: F.transform(cols, lambda j: F.get(px, (i * 2 + 2) * w + j * 2) - F.get(px, i * 2 * w + j * 2))))
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
-    n = F.size(d)
-    mean = total(d, lambda v: v) / n
-    sd = F.sqrt(total(d, lambda v: (v - mean) * (v - mean)) / n)
-    return d, sd
+    rms = lambda a, m: F.sqrt(total(a, lambda v: (v - m) * (v - m)) / F.size(a))
 
+    def clipped(d: Column, sd: Column, left: int) -> Column:
+        if not left:
+            return sd
+        inside = let(sd, lambda s: F.filter(d, lambda v: F.abs(v) < s * 3.5))
+        return let(let(inside, lambda a: rms(a, F.lit(0.0)) / F.lit(0.997)), lambda s: clipped(d, s, left - 1))
 
-def frame_noise(frames: DataFrame) -> DataFrame:
-    d, sd = noise_of_pixels(F.col("pixels"), F.col("height"), F.col("width"))
-    f = frames.withColumn("_d", d).withColumn("_sd", noise_of_pixels(F.col("pixels"), F.col("height"), F.col("width"))[1])
-    for _ in range(3):
-        inside = F.filter("_d", lambda v: F.abs(v) < F.col("_sd") * 3.5)
-        f = f.withColumn("_in", inside).withColumn("_sd", F.sqrt(F.aggregate("_in", F.lit(0.0), lambda s, v: s + v * v) / F.size("_in")) / F.lit(0.997))
-    return f.select("movie", "frame", F.greatest(F.col("_sd") / F.lit(math.sqrt(2)), F.lit(1e-3)).alias("noise"))
+    noise = let(diffs, lambda d: let(let(total(d, lambda v: v) / F.size(d), lambda m: rms(d, m)), lambda sd: clipped(d, sd, 3)))
+    return frames.select("movie", "frame", F.greatest(noise / F.lit(math.sqrt(2)), F.lit(1e-3)).alias("noise"))
 
 
 # ------------------------------------------------------------------ detection
@@ -396,12 +400,12 @@ def localize(frames: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | Non
 
 def normalized_patches(patches: DataFrame, size: int) -> DataFrame:
     """Patches minus their border median, divided by their sum (arrays of size x size)."""
-    from moteflow.functions.arrays import array_median
     border = [i for i in range(size * size) if i // size in (0, size - 1) or i % size in (0, size - 1)]
     corner = [0, size - 1, size * (size - 1), size * size - 1]  # corners belong to a row and a column
     b = array_median(F.array(*[F.get("patch", F.lit(i)) for i in border + corner]))
-    p = patches.withColumn("_b", b).withColumn("_p", F.transform("patch", lambda v: v - F.col("_b")))
-    return p.withColumn("patch", F.transform("_p", lambda v: v / F.aggregate("_p", F.lit(0.0), lambda s, x: s + x))).drop("_b", "_p")
+    light = let(b, lambda m: F.transform("patch", lambda v: v - m))
+    unit = let(light, lambda p: let(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), lambda t: F.transform(p, lambda v: v / t)))
+    return patches.withColumn("patch", unit)
 
 
 def median_templates(patches: DataFrame, least: int = 3) -> DataFrame:
@@ -433,13 +437,14 @@ def cut_patches(rows: DataFrame, frames: DataFrame, half: int = 20, extra: list[
 
 def correlation(a: Column, b: Column) -> Column:
     """Zero-normalized cross-correlation of two arrays over the places where the first is not NULL."""
-    z = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda s: s["a"].isNotNull())
-    tot = lambda f: F.aggregate(z, F.lit(0.0), lambda s, v: s + f(v))
-    n = F.size(z)
-    sa, sb = tot(lambda v: v["a"]), tot(lambda v: v["b"])
-    cov, va, vb = tot(lambda v: v["a"] * v["b"]) - sa * sb / n, tot(lambda v: v["a"] * v["a"]) - sa * sa / n, tot(lambda v: v["b"] * v["b"]) - sb * sb / n
-    den = F.sqrt(va * vb)
-    return F.when(den > 0, cov / den)
+    z = F.filter(F.zip_with(a, b, lambda p, q: F.struct(p.alias("a"), q.alias("b"))), lambda s: s["a"].isNotNull())
+    names = ["n", "a", "b", "ab", "aa", "bb"]
+    acc = lambda vals: F.struct(*[v.cast("double").alias(k) for k, v in zip(names, vals)])
+    sums = F.aggregate(z, acc([F.lit(0.0)] * 6), lambda s, v: acc([s["n"] + 1, s["a"] + v["a"], s["b"] + v["b"], s["ab"] + v["a"] * v["b"], s["aa"] + v["a"] * v["a"], s["bb"] + v["b"] * v["b"]]))
+    def score(s: Column) -> Column:
+        den = F.sqrt((s["aa"] - s["a"] * s["a"] / s["n"]) * (s["bb"] - s["b"] * s["b"] / s["n"]))
+        return F.when(den > 0, (s["ab"] - s["a"] * s["b"] / s["n"]) / den)
+    return let(sums, score)
 
 
 def template_scores(patches: DataFrame, templates: DataFrame, plane_z: Column | None = None) -> DataFrame:
@@ -447,10 +452,9 @@ def template_scores(patches: DataFrame, templates: DataFrame, plane_z: Column |
     beside it; without a depth with all templates. templates(plane, z, pixels): a few hundred, broadcast."""
     w = Window.partitionBy(F.lit(0)).orderBy("z")  # one row per plane
     t = templates.withColumn("k", F.row_number().over(w))
-    t = F.broadcast(t.agg(F.array_sort(F.collect_list(F.struct("k", "z", "pixels"))).alias("ts")))
-    p = patches.join(t)
+    t = F.broadcast(t.agg(F.array_sort(F.collect_list(F.struct("k", "z", "pixels"))).alias("ts")).withColumn("_one", F.lit(1)))
+    p = patches.withColumn("_one", F.lit(1)).join(t, "_one").drop("_one")
     near = F.array_min(F.transform("ts", lambda s: F.struct(F.abs(s["z"] - F.col("z")).alias("d"), s["k"].alias("k"))))["k"]
-    p = p.withColumn("_k", F.when(F.col("z").isNotNull(), near))
-    use = F.filter("ts", lambda s: F.col("_k").isNull() | s["k"].between(F.col("_k") - 1, F.col("_k") + 1))
+    use = let(F.when(F.col("z").isNotNull(), near), lambda k: F.filter("ts", lambda s: k.isNull() | s["k"].between(k - 1, k + 1)))
     score = F.array_max(F.transform(use, lambda s: F.coalesce(correlation(F.col("patch"), s["pixels"]), F.lit(-1.0))))
-    return p.withColumn("templateScore", F.greatest(score, F.lit(-1.0))).drop("ts", "_k")
+    return p.withColumn("templateScore", F.greatest(score, F.lit(-1.0))).drop("ts")
