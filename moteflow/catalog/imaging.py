@@ -154,7 +154,7 @@ def injection_recall(spark, sf):
     """Detections on drawn frames scored against the drawn positions, by brightness."""
     from moteflow.operators import stats as S
     scale = (V.IMAGE - 40) / 262.0
-    r = V.loc(spark, sf, per_movie=6)
+    r = V.loc(spark, sf, per_movie=V.PER_IMAGE)
     truth = r.select("movie", "frame_number", F.col("row_id").alias("truth_id"), (F.col("xMean") * scale + 21).alias("x"), (F.col("yMean") * scale + 21).alias("y"),
                      (F.lit(60.0) + F.col("track_number") * 13 % 140).alias("amp"))
     rows = I.localize(cut(V.bead_frames(spark, sf)), DEFAULTS, V.bead_curve(spark), signals=False)

@@ -150,23 +150,24 @@ CAL = """cal AS (SELECT * REPLACE (
   xMean + 0.03e0 * frame_number AS xMean) FROM loc)"""
 
 
-IMAGE = 128
+IMAGE = 192
+PER_IMAGE = 16
 
 
 def bead_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Localizations drawn as 128 x 128 px frames (six tracks per movie): two Gaussian lobes per bead whose
+    """Localizations drawn as 192 x 192 px frames (sixteen tracks per movie): two Gaussian lobes per bead whose
     separation follows the calibration curve at their angle, a flat background and camera noise."""
     import numpy as np
     import pandas as pd
 
-    r = loc(spark, sf_dir, per_movie=6)
+    r = loc(spark, sf_dir, per_movie=PER_IMAGE)
     scale = F.lit((IMAGE - 40) / 262.0)
     r = r.select("movie", F.col("frame_number").alias("frame"), (F.col("xMean") * scale + 20).alias("x"), (F.col("yMean") * scale + 20).alias("y"),
                  "angleDegrees", (F.lit(60.0) + F.col("track_number") * 13 % 140).alias("amp"))
     packed = r.groupBy("movie", "frame").agg(F.array_sort(F.collect_list(F.struct("x", "y", "angleDegrees", "amp"))).alias("beads"))
 
     def draw(batches):
-        yy, xx = np.mgrid[:IMAGE, :IMAGE].astype(float)
+        k = np.arange(-11, 12)
         for pdf in batches:
             out = []
             for m, f, beads in zip(pdf["movie"], pdf["frame"], pdf["beads"]):
@@ -176,7 +177,10 @@ def bead_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
                     a, sep = np.radians(b["angleDegrees"]), 16.5 + b["angleDegrees"] / 45.0
                     for s in (-0.5, 0.5):
                         cx, cy = b["x"] + s * sep * np.cos(a), b["y"] + s * sep * np.sin(a)
-                        img += b["amp"] * np.exp(-((xx - cx) ** 2 + (yy - cy) ** 2) / (2 * 2.2 ** 2))
+                        x, y = int(cx) + k, int(cy) + k
+                        x, y = x[(x >= 0) & (x < IMAGE)], y[(y >= 0) & (y < IMAGE)]
+                        if len(x) and len(y):
+                            img[y[0]:y[-1] + 1, x[0]:x[-1] + 1] += b["amp"] * np.exp(-((x - cx) ** 2 + ((y - cy) ** 2)[:, None]) / (2 * 2.2 ** 2))
                 out.append(img.ravel().astype(np.float32))
             yield pd.DataFrame({"movie": pdf["movie"], "frame": pdf["frame"], "height": IMAGE, "width": IMAGE, "pixels": out})
 

@@ -205,7 +205,7 @@ def fit_windows(peaks: DataFrame, edges: DataFrame, cfg: Settings = DEFAULTS, ce
     other = cov.select("movie", "frame", "_cx", "_cy", *[F.col(c).alias("o" + c) for c in ("component", "x0", "y0", "x1", "y1")])
     over = cov.join(other, ["movie", "frame", "_cx", "_cy"]).where("component < ocomponent AND x0 <= ox1 AND x1 >= ox0 AND y0 <= oy1 AND y1 >= oy0")
     merged = connected_components(over.select(F.col("component").alias("a"), F.col("ocomponent").alias("b")).distinct()) \
-        .withColumnsRenamed({"node": "component", "component": "window"})
+        .select(F.col("component").alias("window"), F.col("node").alias("component"))
     win = box(boxes.join(merged, "component", "left").withColumn("window", F.coalesce("window", "component")), "window")
     win = cut(win.withColumns({f"c{k}": F.col(k) for k in ("x0", "y0", "x1", "y1")}).withColumn("window", F.col("window").cast("string")))
 
