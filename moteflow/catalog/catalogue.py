@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from moteflow.catalog import views as V
 from moteflow.catalog.drift import DRIFT
 from moteflow.catalog.pairs import LATERAL_COEF
 from moteflow.catalog.registry import R, register, rounded
 from moteflow.operators import drift as D
+from moteflow.plans.number import next_in_order
 from moteflow.sources import tables as S
 
 
@@ -91,14 +92,14 @@ def frames_to_refit(spark, sf):
 @register("name_inference", r"""WITH n AS (SELECT page_id, regexp_replace(url, '^https?://', '') || '_' || CASE page_id % 5 WHEN 0 THEN '10x_25ums_0.04s' WHEN 1 THEN '20X 5um/s' WHEN 2 THEN '63x.ome.tif' ELSE 'plain.TIFF' END AS name, CASE WHEN page_id % 2 = 0 THEN 40e0 END AS ms FROM pages),
  k AS (SELECT *, regexp_replace(regexp_replace(string_split_regex(name, '[/\\]')[-1], '(?i)(\.ome)?\.tiff?$', ''), '_MMStack_Pos0', '') AS stem FROM n),
  c AS (SELECT *, regexp_replace(regexp_replace(stem, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS cl FROM k)
- SELECT page_id, CASE WHEN length(cl) > 0 THEN cl ELSE 'movie' END AS clean, CASE page_id % 5 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 63 END AS objective,
+ SELECT page_id, CASE WHEN length(cl) > 0 THEN cl ELSE 'movie' END AS clean, CAST(CASE page_id % 5 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 63 END AS DOUBLE) AS objective,
   CASE page_id % 5 WHEN 0 THEN 1e0 WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN 0.2e0 END END AS z_step FROM c""")
 def name_inference(spark, sf):
     """Clean names, objective and z step from names built on page addresses; nothing is guessed."""
     k = F.col("page_id") % 5
     tail = F.when(k == 0, "10x_25ums_0.04s").when(k == 1, "20X 5um/s").when(k == 2, "63x.ome.tif").otherwise("plain.TIFF")
     n = V.table(spark, sf, "pages").select("page_id", F.concat(F.regexp_replace("url", "^https?://", ""), F.lit("_"), tail).alias("name"), F.when(F.col("page_id") % 2 == 0, F.lit(40.0)).alias("ms"), tail.alias("tail"))
-    return n.select("page_id", S.clean_name(F.col("name")).alias("clean"), S.magnification(F.col("tail")).alias("objective"), S.z_step_um(F.col("tail"), F.col("ms")).alias("z_step"))
+    return n.select("page_id", S.clean_name(F.col("name")).alias("clean"), S.magnification(F.col("tail")).cast("double").alias("objective"), S.z_step_um(F.col("tail"), F.col("ms")).alias("z_step"))
 
 
 @register("event_durations", """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, max(epoch_us(ts)) OVER () AS total FROM events)
@@ -107,8 +108,8 @@ def event_durations(spark, sf):
     """Time to the next event of the same user; the last one lasts to the end of the table."""
     e = V.table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     total = e.agg(F.max("us")).first()[0]
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    return e.select("event_id", (F.coalesce(F.lead("us").over(w), F.lit(total)) - F.col("us")).alias("duration_us"))
+    nxt = next_in_order(e, "user_id", ["us", "event_id"], "us", "next_us")
+    return nxt.select("event_id", (F.coalesce("next_us", F.lit(total)) - F.col("us")).alias("duration_us"))
 
 
 _LAT = [" + ".join(f"({c!r}::DOUBLE)*{t}" for c, t in zip(row, ("z", "z*u", "z*v", "z*z", "z*z*u", "z*z*v"))) for row in LATERAL_COEF]

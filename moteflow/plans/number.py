@@ -21,3 +21,17 @@ def number_within(df: DataFrame, key: str, order: list[str], out: str, bound: in
     local = F.row_number().over(Window.partitionBy(key, "_pid").orderBy(*order))
     return part.withColumn("_rn", local).join(counts.select(key, "_pid", before.alias("_off")), [key, "_pid"]) \
         .withColumn(out, (F.col("_rn") + F.col("_off")).cast("int")).drop("_pid", "_rn", "_off")
+
+
+def next_in_order(df: DataFrame, key: str, order: list[str], value: str, out: str, bound: int = WINDOW_ROWS) -> DataFrame:
+    """``value`` of the following row by ``order`` within ``key``. Beyond ``bound`` rows per key the table
+    is range-sorted, each partition looks ahead on its own, and its last row of a key takes the first of
+    the next partition."""
+    top = df.groupBy(key).count().agg(F.max("count")).first()[0]
+    if top is None or top <= bound:
+        return df.withColumn(out, F.lead(value).over(Window.partitionBy(key).orderBy(*order)))
+    part = cut(df.repartitionByRange(key, *order).withColumn("_pid", F.spark_partition_id()))
+    heads = part.groupBy(key, "_pid").agg(F.min_by(value, F.struct(*order)).alias("_h"))
+    heads = heads.select(key, "_pid", F.lead("_h").over(Window.partitionBy(key).orderBy("_pid")).alias("_h"))
+    local = F.lead(value).over(Window.partitionBy(key, "_pid").orderBy(*order))
+    return part.withColumn("_l", local).join(heads, [key, "_pid"]).withColumn(out, F.coalesce("_l", "_h")).drop("_pid", "_l", "_h")
