@@ -243,13 +243,7 @@ def holdout(cal: dict[str, DataFrame], cfg: Settings = DEFAULTS) -> DataFrame:
     rows = cal["tracks"].join(split.select(*TRACK, "_k"), TRACK).join(cal["run"].select("movie", "frame_number"), ["movie", "frame_number"], "left_semi")
     curve = cut(dense_curve(_run_of(rows.where("_k = 1"), cfg, False)))
     test = rows.where("_k = 0")
-    one = [r["movie"] for r in curve.select("movie").distinct().orderBy("movie").collect()]  # one name per scan
-    parts = [K.angle_to_z(test.where(F.col("movie") == m), curve.where(F.col("movie") == m).select("i", "z", "angle", "sep"), F.col("lobeSeparationPixels"), z="found", status="found_status") for m in one]
-    if not parts:
-        return test.select("movie", F.lit(0.0).alias("median_abs_um")).limit(0)
-    e = parts[0]
-    for p in parts[1:]:
-        e = e.unionByName(p)
+    e = K.angle_to_z(test, curve.select("movie", "i", "z", "angle", "sep"), F.col("lobeSeparationPixels"), z="found", status="found_status", key="movie")
     e = cut(e.withColumns({"_e": F.col("found") - F.col("z"), "_a": F.abs(F.col("found") - F.col("z"))}))
     q = exact_quantiles(e, ["movie"], "_a", {"median_abs_um": 0.5, "p90_abs_um": 0.9}).join(exact_quantiles(e, ["movie"], "_e", {"median_signed_um": 0.5}), "movie")
     return e.groupBy("movie").agg(F.count("*").alias("held_out"), F.count_if(F.col("found").isNull()).alias("unavailable"), F.count_if(F.col("found_status") == 3).alias("resolved_by_separation"),

@@ -11,11 +11,11 @@ from moteflow.functions.arrays import let
 GRID_DEG = 0.05
 
 
-def segments(curve: DataFrame, *extra: str) -> DataFrame:
-    """Consecutive knots of a curve table (i, z, angle, sep) as segments."""
-    w = Window.partitionBy(F.lit(0)).orderBy("i")  # a curve is at most a few 10^4 knots
+def segments(curve: DataFrame, *extra: str, key: str | None = None) -> DataFrame:
+    """Consecutive knots of a curve table (i, z, angle, sep) as segments; with ``key`` of one curve each."""
+    w = Window.partitionBy(F.col(key) if key else F.lit(0)).orderBy("i")  # a curve is at most a few 10^4 knots
     cols = ["z", "angle", "sep", *extra]
-    return curve.select("i", *[F.col(c).alias(c + "0") for c in cols], *[F.lead(c).over(w).alias(c + "1") for c in cols]) \
+    return curve.select(*([key] if key else []), "i", *[F.col(c).alias(c + "0") for c in cols], *[F.lead(c).over(w).alias(c + "1") for c in cols]) \
         .where(F.col("z1").isNotNull())
 
 
@@ -27,18 +27,18 @@ def _wrapped(seg: DataFrame) -> DataFrame:
         {"angle0": F.col("angle0") - F.col("_k") * 180, "angle1": F.col("angle1") - F.col("_k") * 180}).drop("_k")
 
 
-def _lookup(seg: DataFrame, lo: Column, hi: Column, width: float) -> DataFrame:
+def _lookup(seg: DataFrame, lo: Column, hi: Column, width: float, key: str | None = None) -> DataFrame:
     """(bin, segs): segments listed under every bin of ``width`` they touch, so that a range join on the
     curve becomes a broadcast equi-join with one match per row."""
     eps = 1e-9
     bins = F.sequence(F.floor((lo - eps) / width).cast("long"), F.floor((hi + eps) / width).cast("long"))
-    fields = [c for c in seg.columns if c != "i"]
-    return seg.withColumn("bin", F.explode(bins)).groupBy("bin").agg(F.collect_list(F.struct(*fields)).alias("segs"))
+    fields = [c for c in seg.columns if c not in ("i", key)]
+    return seg.withColumn("bin", F.explode(bins)).groupBy(*([key] if key else []), "bin").agg(F.collect_list(F.struct(*fields)).alias("segs"))
 
 
-def angle_lookup(curve: DataFrame, width: float = 1.0) -> DataFrame:
-    seg = _wrapped(segments(curve))
-    return _lookup(seg, F.least("angle0", "angle1"), F.greatest("angle0", "angle1"), width)
+def angle_lookup(curve: DataFrame, width: float = 1.0, key: str | None = None) -> DataFrame:
+    seg = _wrapped(segments(curve, key=key))
+    return _lookup(seg, F.least("angle0", "angle1"), F.greatest("angle0", "angle1"), width, key)
 
 
 def roots(angle: Column, segs: str = "segs") -> Column:
@@ -53,13 +53,14 @@ def roots(angle: Column, segs: str = "segs") -> Column:
 
 
 def angle_to_z(rows: DataFrame, curve: DataFrame, sep: Column | None, limits: tuple[float, float] | None = None,
-               margin: float = 1.5, z: str = "zMicrons", status: str = "zStatus", angle: str = "angleDegrees") -> DataFrame:
+               margin: float = 1.5, z: str = "zMicrons", status: str = "zStatus", angle: str = "angleDegrees", key: str | None = None) -> DataFrame:
     """Depth per angle. Status 0 unique, 1 outside the curve, 2 ambiguous, 3 told apart by the lobe
-    separation (the best depth must win by ``margin`` px). z is NULL for 1 and 2. No shuffle: the curve
-    lookup is broadcast (its size is that of the curve) and the roots stay an array inside the row."""
+    separation (the best depth must win by ``margin`` px). z is NULL for 1 and 2. With a single curve there is no
+    shuffle: its lookup is broadcast (bounded by the curve) and the roots stay an array inside the row.
+    ``key`` names the column that picks each row's own curve."""
     out = rows.withColumn("_bin", F.floor(F.col(angle) / 1.0).cast("long"))
-    look = F.broadcast(angle_lookup(curve).withColumnRenamed("bin", "_bin"))
-    out = out.join(look, "_bin", "left")
+    look = angle_lookup(curve, key=key).withColumnRenamed("bin", "_bin")
+    out = out.join(look, [key, "_bin"], "left") if key else out.join(F.broadcast(look), "_bin", "left")
     r = F.coalesce(roots(F.col(angle)), F.array().cast("array<struct<key:double,z:double,sep:double>>"))
     r = let(r, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["key"] != F.get(a, i - 1)["key"])))
     if limits is not None:
