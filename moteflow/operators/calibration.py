@@ -158,7 +158,7 @@ def angle_crossing(curve: DataFrame, target: float) -> float | None:
     lo, hi = F.least("angle0", "angle1"), F.greatest("angle0", "angle1")
     k = F.sequence(F.ceil((lo - target) / 180 - 1e-12), F.floor((hi - target) / 180 + 1e-12))
     some = F.ceil((lo - target) / 180 - 1e-12) <= F.floor((hi - target) / 180 + 1e-12)
-    at = seg.where(some).withColumn("_t", F.lit(float(target)) + F.explode(k) * 180)
+    at = seg.where(some).withColumn("_k", F.explode(k)).withColumn("_t", F.lit(float(target)) + F.col("_k") * 180)
     z = F.when(F.col("angle1") == F.col("angle0"), F.col("z0")).otherwise(
         F.col("z0") + (F.col("_t") - F.col("angle0")) / (F.col("angle1") - F.col("angle0")) * (F.col("z1") - F.col("z0")))
     return at.select(z.alias("z")).agg(F.min_by("z", F.abs("z"))).first()[0]
