@@ -150,12 +150,12 @@ CAL = """cal AS (SELECT * REPLACE (
   xMean + 0.03e0 * frame_number AS xMean) FROM loc)"""
 
 
-IMAGE = 192
-PER_IMAGE = 16
+IMAGE = 160
+PER_IMAGE = 6
 
 
 def bead_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Localizations drawn as 192 x 192 px frames (sixteen tracks per movie): two Gaussian lobes per bead whose
+    """Localizations drawn as 160 x 160 px frames (six tracks per movie): two Gaussian lobes per bead whose
     separation follows the calibration curve at their angle, a flat background and camera noise."""
     import numpy as np
     import pandas as pd
