@@ -184,6 +184,8 @@ def bead_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(img.ravel().astype(np.float32))
             yield pd.DataFrame({"movie": pdf["movie"], "frame": pdf["frame"], "height": IMAGE, "width": IMAGE, "pixels": out})
 
+    # explicit number: the rows are few bytes but much work, so they must not be coalesced into one task
+    packed = packed.repartition(4 * spark.sparkContext.defaultParallelism, "movie", "frame")
     return packed.mapInPandas(draw, "movie string, frame int, height int, width int, pixels array<float>")
 
 
