@@ -382,13 +382,25 @@ def roi_signals(rows: DataFrame, frames: DataFrame, radius: float = 5.0) -> Data
     return rows.join(out, ["movie", "row_id"])
 
 
-def localize(frames: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | None = None, seeded: bool = True, signals: bool = True) -> DataFrame:
-    """Localizations of all frames of all movies."""
+def with_camera(frames: DataFrame, camera: DataFrame) -> DataFrame:
+    """Frames with their sensor's maps as arrays beside the pixels. camera(y, x, offset, variance, gain) has
+    one row per sensor pixel and the size of the frames."""
+    names = ["offset", "variance", "gain"]
+    s = F.array_sort(F.collect_list(F.struct("y", "x", *names)))
+    one = camera.agg(s.alias("s")).select(F.lit(1).alias("_one"), *[F.col("s." + c).alias(c) for c in names])
+    return frames.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+
+
+def localize(frames: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | None = None, seeded: bool = True, signals: bool = True,
+             camera: DataFrame | None = None) -> DataFrame:
+    """Localizations of all frames of all movies; with ``camera`` maps the fits maximize the camera's
+    likelihood instead of least squares."""
     src = seed_average(frames, cfg.seed_sigma_frames) if seeded and cfg.seed_sigma_frames > 0 else frames
     peaks = cut(detect_peaks(src, cfg))
     edges = cut(peak_edges(peaks, cfg, curve))
     windows = cut(fit_windows(peaks, edges, cfg))
-    lobes = cut(fit_lobes(window_crops(windows, frames), cfg))
+    lit = with_camera(frames, camera) if camera is not None else frames
+    lobes = cut(fit_lobes(window_crops(windows, lit, camera is not None), cfg))
     rows = cut(to_localizations(pair_lobes(lobes, peaks, windows, cfg, curve)))
     rows = cut(C.reused_lobes(rows, F.col("noise"), cfg))
     rows = rows.join(C.ring_shadows(rows, cfg).select("row_id"), "row_id", "left_anti")
