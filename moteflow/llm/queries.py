@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moteflow.llm import decontaminate, pairwise_quality, ppm_language, secret_ledger
+from moteflow.llm import decontaminate, lsh_forest, pairwise_quality, ppm_language, secret_ledger
 from moteflow.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
         .select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits"))
 
 
+@query("op3_lsh_forest")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf, "documents"), 3, 85)
+
+
 @query("op6_pairwise_quality")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
