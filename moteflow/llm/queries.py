@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moteflow.llm import decontaminate, lsh_forest, pairwise_quality, ppm_language, secret_ledger
+from moteflow.llm import decontaminate, line_runs, lsh_forest, pairwise_quality, poisson_mix, ppm_language, secret_ledger
 from moteflow.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,24 @@ ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 ALNUM_WORDS = rf"regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+@query("op1_line_runs", rf"""
+WITH x AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+l AS (SELECT doc_id, no, line, len(regexp_extract_all(line, '[^ 	-]+')) AS w FROM x),
+p AS (SELECT doc_id, no, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS p, sum(w) OVER (PARTITION BY doc_id ORDER BY no) AS c FROM l WHERE w > 0),
+f AS (SELECT a.doc_id, a.p AS s, min(b.p) AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + 49 AND b.c - a.c + a.w >= 50 GROUP BY 1, 2),
+b AS (SELECT b.doc_id, max(a.p) AS s, b.p AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + 49 AND b.c - a.c + a.w >= 50 GROUP BY 1, 3),
+v AS (SELECT * FROM f UNION SELECT doc_id, s, e FROM b),
+t AS (SELECT v.doc_id, s, e, string_agg(line, chr(10) ORDER BY p) AS run FROM v JOIN p ON v.doc_id = p.doc_id AND p.p BETWEEN s AND e GROUP BY 1, 2, 3),
+k AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS n FROM t),
+g AS (SELECT DISTINCT p.doc_id, p.no FROM k JOIN p ON k.doc_id = p.doc_id AND p.p BETWEEN s AND e WHERE n > 1),
+r AS (SELECT l.doc_id, count(*) FILTER (w > 0) AS n_lines, count(g.no) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.no) FILTER (g.no IS NULL) AS rest
+      FROM l LEFT JOIN g USING (doc_id, no) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS text_sha256 FROM documents d LEFT JOIN r USING (doc_id)""")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return line_runs.dedup_lines(table(spark, sf, "documents").select("doc_id", "text")) \
+        .select("doc_id", F.col("lines_seen").alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 @query("op2_ppm_language")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
@@ -84,3 +102,20 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     found = secret_ledger.scan_secrets(table(spark, sf, "documents").select("doc_id", "text"))
     n = [F.expr(f"CAST(size(filter(findings, f -> f.kind = '{k}')) AS BIGINT) AS n_{k}") for k in secret_ledger.BASE]
     return found.select("doc_id", *n, F.sha2(_spans(secret_ledger.BASE), 256).alias("base_sha256"), _spans(secret_ledger.KINDS).alias("spans"))
+
+
+_TARGETS = ", ".join(f"('{g}', {w})" for g, w in poisson_mix.TARGETS.items())
+
+
+@query("op10_poisson_mix", f"""
+WITH w(g, w) AS (VALUES {_TARGETS}, (NULL, {poisson_mix.REST})),
+d AS (SELECT doc_id, source, length(text) AS n, CASE WHEN source IN (SELECT g FROM w) THEN source END AS g FROM documents),
+s AS (SELECT g, sum(n) AS n FROM d GROUP BY 1),
+r AS (SELECT s.g, CAST({poisson_mix.EPOCHS} AS DOUBLE) * CAST(w AS DOUBLE) / sum(CAST(w AS DOUBLE)) OVER () * sum(n) OVER () / n AS rate FROM s JOIN w ON s.g IS NOT DISTINCT FROM w.g WHERE n > 0),
+c AS (SELECT g, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY g ORDER BY k) AS cdf FROM r, range(0, 400) t(k) WHERE k < rate + 12 * sqrt(rate) + 40),
+u AS (SELECT doc_id, source, g, CAST('0x' || substr(md5('{poisson_mix.SEED}:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM d),
+n AS (SELECT doc_id, source, count(*) FILTER (cdf <= u) AS n FROM u JOIN c ON u.g IS NOT DISTINCT FROM c.g GROUP BY 1, 2)
+SELECT doc_id, source, CAST(k AS INTEGER) AS copy, md5('{poisson_mix.SEED}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(k AS VARCHAR)) AS shuffle_key
+FROM (SELECT doc_id, source, unnest(generate_series(1, n)) AS k FROM n WHERE n > 0)""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return poisson_mix.mix(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "copy", "shuffle_key")
