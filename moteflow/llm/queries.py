@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moteflow.llm import decontaminate, line_runs, lsh_forest, pairwise_quality, poisson_mix, ppm_language, secret_ledger
+from moteflow.llm import decontaminate, hidden_markov, license_diagonals, line_runs, lsh_forest, pairwise_quality, poisson_mix, ppm_language, secret_ledger, threshold_topk
 from moteflow.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +32,8 @@ ALNUM_WORDS = rf"regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7
 
 @query("op1_line_runs", rf"""
 WITH x AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
-l AS (SELECT doc_id, no, line, len(regexp_extract_all(line, '[^ 	-]+')) AS w FROM x),
+l AS (SELECT doc_id, no, line, len(regexp_extract_all(line, '[^ 	-
+]+')) AS w FROM x),
 p AS (SELECT doc_id, no, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS p, sum(w) OVER (PARTITION BY doc_id ORDER BY no) AS c FROM l WHERE w > 0),
 f AS (SELECT a.doc_id, a.p AS s, min(b.p) AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + 49 AND b.c - a.c + a.w >= 50 GROUP BY 1, 2),
 b AS (SELECT b.doc_id, max(a.p) AS s, b.p AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + 49 AND b.c - a.c + a.w >= 50 GROUP BY 1, 3),
@@ -61,6 +62,23 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf, "documents"), 3, 85)
 
 
+@query("op4_threshold_topk", """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return threshold_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@query("op5_hidden_markov")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return hidden_markov.score_texts(table(spark, sf, "documents"), held_out(F.col("doc_id"), 5, 1)) \
+        .select("doc_id", F.col("held").alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), "train_tokens", "base_score", "score")
+
+
 @query("op6_pairwise_quality")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -71,6 +89,21 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
                 (F.col("quality_score") >= pairwise_quality.CUT).cast("int").alias("predicted"))
 
 
+def _labels(base: bool):
+    chosen = F.filter("spans", lambda s: s["base"]) if base else F.col("spans")
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(chosen, lambda s: s["label"]))), ",")
+
+
+@query("op7_license_diagonals")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+    firsts = F.transform(base, lambda s: s["first"])
+    return license_diagonals.scan_licenses(table(spark, sf, "documents").select("doc_id", "text")) \
+        .select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(firsts).alias("first_word"), F.array_max(firsts).alias("last_word"),
+                _labels(True).alias("base_labels"), _labels(False).alias("labels"),
+                F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"))
+
+
 @query("op8_fm_decontamination", rf"""
 WITH d AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {ALNUM_WORDS} AS w FROM benchmark),
