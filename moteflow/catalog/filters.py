@@ -152,10 +152,10 @@ def thinned_beads(spark, sf):
     return X.thin(V.loc(spark, sf), ["movie"], "row_id").select("movie", "row_id")
 
 
-@register("sorted_track_list", f"""WITH {V.LOC}, s AS (SELECT movie, track_number, avg(zMicrons) AS mean_z FROM loc WHERE frame_number <= 4 GROUP BY ALL)
+@register("sorted_track_list", f"""WITH {V.LOC}, s AS (SELECT movie, track_number, avg(zMicrons) AS mean_z FROM loc GROUP BY ALL)
  SELECT CAST(row_number() OVER (PARTITION BY movie ORDER BY mean_z DESC NULLS LAST, track_number) AS INTEGER) AS position, movie, track_number, {R('mean_z')} AS mean_z FROM s""")
 def sorted_track_list(spark, sf):
-    s = V.loc(spark, sf).where("frame_number <= 4").groupBy("movie", "track_number").agg(F.avg("zMicrons").alias("mean_z"))
+    s = V.loc(spark, sf).groupBy("movie", "track_number").agg(F.avg("zMicrons").alias("mean_z"))
     w = Window.partitionBy("movie").orderBy(F.col("mean_z").desc_nulls_last(), "track_number")
     return rounded(s.withColumn("position", F.row_number().over(w)), "mean_z")
 

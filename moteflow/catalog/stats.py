@@ -154,9 +154,9 @@ def pair_distance_profile(spark, sf):
 @register("recall_bands", f"""WITH {V.LOC}, det AS (SELECT movie, frame_number, row_id AS found_id, xMean + (row_id % 41) / 10.3e0 - 1.9e0 AS x, yMean AS y FROM loc WHERE row_id % 5 <> 0),
  near AS (SELECT t.row_id AS truth_id, min(sqrt(pow(t.xMean - d.x, 2) + pow(t.yMean - d.y, 2))) AS err FROM loc t JOIN det d ON t.movie = d.movie AND t.frame_number = d.frame_number
    AND (t.xMean-d.x)*(t.xMean-d.x) + (t.yMean-d.y)*(t.yMean-d.y) <= 4 GROUP BY t.row_id),
- m AS (SELECT *, CASE WHEN amplitude1 >= 25 AND amplitude1 < 50 THEN 0 WHEN amplitude1 >= 50 AND amplitude1 < 100 THEN 1 WHEN amplitude1 >= 100 AND amplitude1 < 200 THEN 2 WHEN amplitude1 >= 200 AND amplitude1 < 450 THEN 3 END AS band
+ m AS (SELECT *, CASE WHEN amplitude1 < 25 THEN 0 WHEN amplitude1 < 50 THEN 1 WHEN amplitude1 < 100 THEN 2 WHEN amplitude1 < 200 THEN 3 WHEN amplitude1 < 450 THEN 4 ELSE 5 END AS band
    FROM loc LEFT JOIN near ON row_id = truth_id)
-SELECT CAST(band AS INTEGER) AS band, count(*) AS n, {R('avg(CASE WHEN err IS NOT NULL THEN 1e0 ELSE 0e0 END)')} AS recall, {R('avg(err)')} AS mean_error FROM m WHERE band IS NOT NULL GROUP BY band""")
+SELECT CAST(band AS INTEGER) AS band, count(*) AS n, {R('avg(CASE WHEN err IS NOT NULL THEN 1e0 ELSE 0e0 END)')} AS recall, {R('avg(err)')} AS mean_error FROM m GROUP BY band""")
 def recall_bands(spark, sf):
     """Detections (the rows, shifted, four fifths kept) scored against the rows as truth, by brightness."""
     rows = V.loc(spark, sf)

@@ -9,14 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from moteflow.functions.field import combine
-from moteflow.operators.filters import thin, upper_median
+from moteflow.operators.filters import upper_median
 from moteflow.plans.fit import fit_terms
 from moteflow.plans.quantile import exact_quantiles
 from moteflow.plans.spatial import nearest_k
 from moteflow.session import cut
 
 MIN_BEADS = 8
-MAX_FIT = 600
 DENSITY_MIN = 0.35
 # Candidate length scales (x bead spacing) and amplitudes (x displacement variance).
 LENGTHS = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0]
@@ -86,10 +85,10 @@ def _sq_dist(P: np.ndarray) -> np.ndarray:
     return (d * d).sum(-1)
 
 
-def fit_lengths(disp: DataFrame, spacing: DataFrame, limit: int = MAX_FIT) -> DataFrame:
+def fit_lengths(disp: DataFrame, spacing: DataFrame) -> DataFrame:
     """Length scale (shared by the components) and amplitudes per movie by marginal likelihood. ``disp``
     holds one frame's displacements per movie; each candidate length is a task of its own."""
-    d = thin(disp.where("uz IS NOT NULL AND Z IS NOT NULL"), ["movie"], "track_number", limit)
+    d = disp.where("uz IS NOT NULL AND Z IS NOT NULL")
     cand = d.join(spacing, "movie").withColumn("_f", F.explode(F.array(*[F.lit(f) for f in LENGTHS]))).withColumn("ell", F.col("_f") * F.col("spacing"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -195,9 +194,7 @@ def deformation_series(beads: DataFrame, reference: int, depth_shift: float = 0.
     beads = cut(beads)
     disp = cut(displacement(beads, F.col("frame_number") == reference).where("uz IS NOT NULL AND Z IS NOT NULL"))
     ref = beads.where((F.col("frame_number") == reference) & F.col("Z").isNotNull())
-    last = beads.groupBy("movie").agg(F.max("frame_number").alias("_last"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_last") / 60))
-    busy = busiest_frame(disp.join(last, "movie"), reference, step)
+    busy = busiest_frame(disp, reference, F.lit(1))
     one = disp.join(busy.select("movie", F.col("frame").alias("frame_number")), ["movie", "frame_number"], "left_semi")
     fit = fit_lengths(one, nearest_spacing(one.select("movie", "track_number", "X", "Y", "Z")))
     grid = cut(movie_grid(ref, depth_shift).join(fit, "movie"))

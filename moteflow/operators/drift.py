@@ -7,21 +7,18 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from moteflow.plans.series import fill_linear, frame_grid, gauss_smooth
-from moteflow.session import colocate
-
 AXES = {"dx": "xMean", "dy": "yMean", "dz": "zMicrons"}
 
 
 def median_polish(rows: DataFrame, axes: dict[str, str], sweeps: int = 6, key: str = "movie") -> DataFrame:
     """Per-frame shift of each axis from the two-way model value = c(track) + D(frame) + noise.
 
-    Alternating medians over tracks and frames. Rows are partitioned once by movie (when every movie
-    fits), after which all windows of all sweeps run without another exchange.
+    Alternating medians over tracks and frames. Both keys are finer than the movie, so a movie of any
+    size is spread over the cluster.
     """
     per_track = Window.partitionBy(key, "track_number")
     per_frame = Window.partitionBy(key, "frame_number")
     df = rows.select(key, "track_number", "frame_number", *[F.col(v).alias("_v" + d) for d, v in axes.items()])
-    df = colocate(df, key)
     df = df.withColumns({"_D" + d: F.lit(0.0) for d in axes})
     for _ in range(sweeps):
         df = df.withColumns({"_c" + d: F.median(F.col("_v" + d) - F.col("_D" + d)).over(per_track) for d in axes})

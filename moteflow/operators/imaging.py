@@ -248,7 +248,7 @@ def fit_windows(peaks: DataFrame, edges: DataFrame, cfg: Settings = DEFAULTS, ce
         "x1": F.least(F.ceil("x1"), F.col("width") - 1), "y1": F.least(F.ceil("y1"), F.col("height") - 1)})
     out = cut(out)
     s = members(out.drop("height", "width")).groupBy("window").agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias("seeds"))
-    return out.join(s, "window").where(F.size("seeds") <= 2 * cfg.max_group_gaussians)
+    return out.join(s, "window")
 
 
 LOBES = T.StructType([T.StructField(n, t) for n, t in (

@@ -89,8 +89,7 @@ def error_scale(rows: DataFrame, axes: dict[str, tuple[str, str, float]], min_pa
 def pair_profile(pairs: DataFrame, keys: list[str], max_r: float = 40.0, lo: float = 2.0, width: float = 0.5, peak_from: float = 6.0) -> DataFrame:
     """Pair density against distance (per annulus area, far tail = 1), its smoothed peak and half-width.
     Distances are counted per bin first; what remains is one short array per group."""
-    n = int((max_r + width - lo) / width + 1e-9)
-    n = len([i for i in range(10_000) if lo + i * width < max_r + width]) - 1
+    n = math.ceil((max_r + width - lo) / width - 1e-9) - 1
     b = F.least(F.floor((F.col("distance") - lo) / width), F.lit(n - 1)).cast("int")
     c = pairs.where((F.col("distance") >= lo) & (F.col("distance") <= lo + n * width)).groupBy(*keys, b.alias("bin")).count()
     m = c.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"))
@@ -129,11 +128,10 @@ def match_truth(truth: DataFrame, found: DataFrame, radius: float = 2.0) -> Data
 
 
 def banded_recall(matched: DataFrame, col: str, edges: list[float]) -> DataFrame:
-    """Recall and matching error per half-open band of ``col``."""
-    band = F.lit(None).cast("int")
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        band = F.when((F.col(col) >= a) & (F.col(col) < b), F.lit(i)).otherwise(band)
-    return matched.withColumn("band", band).where(F.col("band").isNotNull()).groupBy("band").agg(
+    """Recall and matching error per band of ``col``, numbered by how many edges a value reaches: the first band
+    is open below and the last above."""
+    band = sum(F.when(F.col(col) >= a, 1).otherwise(0) for a in edges)
+    return matched.withColumn("band", band).groupBy("band").agg(
         F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("recall"), F.avg("error_px").alias("mean_error"))
 
 

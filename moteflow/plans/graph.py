@@ -1,56 +1,17 @@
 """Graph fixpoints over edge tables: components, chains and greedy selection.
 
 Each loop cuts its lineage to the shared checkpoint folder and stops on an emptiness test, never on
-collected rows. Tables counted to be at most ``SMALL`` rows are finished in one task instead, which saves
-the rounds; larger ones go on as joins.
+collected rows. Nodes may be of any type that sorts; tables of every size take the same path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from moteflow.session import cut
 
-SMALL = 250_000
-
-
-def _one_task(df: DataFrame, fn, schema: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)  # at most SMALL rows
-        if parts:
-            yield fn(pd.concat(parts))
-    return df.coalesce(1).mapInPandas(run, schema)
-
-
-def _label_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    nodes, ends = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
-    u, v = ends.reshape(-1, 2).T
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, u, label[v])
-        np.minimum.at(new, v, label[u])
-        np.minimum.at(new, label, new)
-        new = new[new]
-        if np.array_equal(new, label):
-            return pd.DataFrame({"node": nodes, "component": nodes[label]})
-        label = new
 
-
-def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
-    node = pdf["node"].to_numpy()
-    order = np.argsort(node)
-    ptr = order[np.searchsorted(node[order], pdf["to"].to_numpy())]
-    while not np.array_equal(ptr[ptr], ptr):
-        ptr = ptr[ptr]
-    return pd.DataFrame({"node": node, "head": node[ptr]})
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
     Contraction: each node hooks to its smallest neighbour, pointers are jumped twice, and the edge
@@ -60,8 +21,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: in
     """
     e = cut(edges.where(F.col(a) != F.col(b))
             .select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
-    if e.count() <= small:
-        return cut(_one_task(e, _label_edges, "node long, component long"))
     rounds = []
     while not e.isEmpty():
         both = e.select(F.col("u").alias("node"), F.col("v").alias("m")) \
@@ -88,7 +47,7 @@ def _jump(ptr: DataFrame) -> DataFrame:
     return ptr.join(nxt, "to", "left").select("node", F.coalesce("to2", "to").alias("to"))
 
 
-def chain_heads(nodes: DataFrame, links: DataFrame, node: str = "node", small: int = SMALL) -> DataFrame:
+def chain_heads(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
     """(node, head) where ``links(prev, next)`` has degree at most one on each side.
 
     Pointer doubling: after k rounds a pointer has moved 4**k links back, so a chain as long as the
@@ -97,8 +56,6 @@ def chain_heads(nodes: DataFrame, links: DataFrame, node: str = "node", small: i
         .join(links.select(F.col("next").alias("node"), F.col("prev").alias("to")), "node", "left") \
         .select("node", F.coalesce("to", "node").alias("to"))
     ptr = cut(ptr)
-    if ptr.count() <= small:
-        return cut(_one_task(ptr, _follow, "node long, head long"))
     while True:
         new = cut(_jump(_jump(ptr)))
         moved = new.join(ptr.withColumnRenamed("to", "old"), "node").where("to <> old")
@@ -108,7 +65,7 @@ def chain_heads(nodes: DataFrame, links: DataFrame, node: str = "node", small: i
             return ptr.withColumnRenamed("to", "head")
 
 
-def greedy_keep(ids: DataFrame, better: DataFrame, small: int = SMALL) -> DataFrame:
+def greedy_keep(ids: DataFrame, better: DataFrame) -> DataFrame:
     """Greedy selection in rank order: keep a row unless a better-ranked *kept* row conflicts with it.
 
     ``ids(id)`` are the candidates, ``better(win, lose)`` the conflicts directed from the better to the
@@ -118,9 +75,6 @@ def greedy_keep(ids: DataFrame, better: DataFrame, small: int = SMALL) -> DataFr
     kept_parts = []
     edges = cut(better)
     open_ = cut(ids)
-    if edges.count() <= small:
-        lost = cut(_one_task(edges.select("win", "lose"), _greedy_losers, "id long"))
-        return open_.join(lost, "id", "left_anti")
     while True:
         kept = cut(open_.join(edges.select(F.col("lose").alias("id")).distinct(), "id", "left_anti"))
         kept_parts.append(kept)
@@ -136,16 +90,3 @@ def greedy_keep(ids: DataFrame, better: DataFrame, small: int = SMALL) -> DataFr
     for k in kept_parts[1:]:
         out = out.unionByName(k)
     return out
-
-
-def _greedy_losers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows beaten by a kept row. Rounds as above, on arrays."""
-    nodes, ends = np.unique(pdf[["win", "lose"]].to_numpy(), return_inverse=True)
-    win, lose = ends.reshape(-1, 2).T
-    kept, lost = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
-    while not (kept | lost).all():
-        live = ~lost[win]
-        rivals = np.bincount(lose[live], minlength=len(nodes)) > 0
-        kept |= ~lost & ~rivals
-        lost[lose[kept[win]]] = True
-    return pd.DataFrame({"id": nodes[lost]})

@@ -6,15 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from moteflow.session import cut
 
-WINDOW_ROWS = 5_000_000
 
-
-def number_within(df: DataFrame, key: str, order: list[str], out: str, bound: int = WINDOW_ROWS) -> DataFrame:
-    """1, 2, 3, ... by ``order`` within ``key``. A plain window while every group fits one task; beyond
-    that a range sort over (key, order) numbers each sorted partition and adds the counts before it."""
-    top = df.groupBy(key).count().agg(F.max("count")).first()[0]
-    if top is None or top <= bound:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def number_within(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+    """1, 2, 3, ... by ``order`` within ``key``: a range sort over (key, order) numbers each sorted partition
+    and adds the counts before it."""
     part = cut(df.repartitionByRange(key, *order).withColumn("_pid", F.spark_partition_id()))
     counts = part.groupBy(key, "_pid").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -23,13 +18,9 @@ def number_within(df: DataFrame, key: str, order: list[str], out: str, bound: in
         .withColumn(out, (F.col("_rn") + F.col("_off")).cast("int")).drop("_pid", "_rn", "_off")
 
 
-def next_in_order(df: DataFrame, key: str, order: list[str], value: str, out: str, bound: int = WINDOW_ROWS) -> DataFrame:
-    """``value`` of the following row by ``order`` within ``key``. Beyond ``bound`` rows per key the table
-    is range-sorted, each partition looks ahead on its own, and its last row of a key takes the first of
-    the next partition."""
-    top = df.groupBy(key).count().agg(F.max("count")).first()[0]
-    if top is None or top <= bound:
-        return df.withColumn(out, F.lead(value).over(Window.partitionBy(key).orderBy(*order)))
+def next_in_order(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
+    """``value`` of the following row by ``order`` within ``key``. The table is range-sorted, each partition
+    looks ahead on its own, and its last row of a key takes the first of the next partition."""
     part = cut(df.repartitionByRange(key, *order).withColumn("_pid", F.spark_partition_id()))
     heads = part.groupBy(key, "_pid").agg(F.min_by(value, F.struct(*order)).alias("_h"))
     heads = heads.select(key, "_pid", F.lead("_h").over(Window.partitionBy(key).orderBy("_pid")).alias("_h"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -49,23 +49,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/moteflow/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a capped count proves ``df`` has at most ``rows`` rows; beyond that
-    the join is left to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-COLOCATE_ROWS = 20_000_000
-
-
-def colocate(df: DataFrame, key: str, bound: int = COLOCATE_ROWS) -> DataFrame:
-    """Hash-partition by ``key`` once so that later windows and groups on finer keys starting with it
-    need no further exchange. Skipped when a single key exceeds ``bound`` rows: the finer keys then
-    shuffle on their own and a hot ``key`` is spread over the cluster."""
-    top = df.groupBy(key).count().agg(F.max("count")).first()[0]
-    return df.repartition(F.col(key)) if top is not None and top <= bound else df

@@ -78,12 +78,14 @@ def recent_inputs(scans: list[DataFrame], cached: DataFrame, limit: int = 8) ->
     return top.join(cached, "path", "left").withColumn("cached_parts", F.coalesce("cached_parts", F.lit(0).cast("long")))
 
 
-def match_sidecars(movies: DataFrame, sidecars: DataFrame, max_len: int = 200) -> DataFrame:
+def match_sidecars(movies: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Metadata files whose base name is a prefix of the movie's, or the other way round. Both names are
-    expanded to their prefixes, so the two-sided prefix test is two equi-joins, not a nested loop."""
-    pre = lambda c: F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(max_len))), lambda n: F.substring(c, F.lit(1), n))
-    down = movies.withColumn("_k", F.explode(pre(F.col("base")))).join(sidecars.withColumnRenamed("base", "_k").withColumn("sbase", F.col("_k")), "_k")
-    up = sidecars.withColumnRenamed("base", "sbase").withColumn("_k", F.explode(pre(F.col("sbase")))).join(movies.withColumn("_k", F.col("base")), "_k")
+    expanded to their prefixes of the lengths that the other side's names have, so the two-sided prefix test
+    is two equi-joins, not a nested loop."""
+    sizes = {k: [r[0] for r in df.where("length(base) > 0").select(F.length("base")).distinct().collect()] for k, df in (("down", sidecars), ("up", movies))}
+    pre = lambda c, k: F.transform(F.filter(F.array(*[F.lit(n) for n in sorted(sizes[k])]).cast("array<int>"), lambda n: n <= F.length(c)), lambda n: F.substring(c, F.lit(1), n))
+    down = movies.withColumn("_k", F.explode(pre(F.col("base"), "down"))).join(sidecars.withColumnRenamed("base", "_k").withColumn("sbase", F.col("_k")), "_k")
+    up = sidecars.withColumnRenamed("base", "sbase").withColumn("_k", F.explode(pre(F.col("sbase"), "up"))).join(movies.withColumn("_k", F.col("base")), "_k")
     cols = [c for c in down.columns if c != "_k"]
     return down.select(cols).unionByName(up.select(cols)).distinct()
 

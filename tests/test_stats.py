@@ -27,8 +27,9 @@ def test_quantiles_of_large_groups_are_exact(spark):
 
 def test_numbering_of_large_groups(spark):
     df = spark.range(0, 500).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 500).alias("o"))
-    assert {tuple(r) for r in number_within(df, "k", ["o"], "n").collect()} == {tuple(r) for r in number_within(df, "k", ["o"], "n", bound=1).select("k", "o", "n").collect()}
-    assert {tuple(r) for r in next_in_order(df, "k", ["o"], "o", "n").collect()} == {tuple(r) for r in next_in_order(df, "k", ["o"], "o", "n", bound=1).select("k", "o", "n").collect()}
+    by = {k: sorted(o * 7919 % 500 for o in range(500) if o % 2 == k) for k in (0, 1)}
+    assert {tuple(r) for r in number_within(df, "k", ["o"], "n").select("k", "o", "n").collect()} == {(k, o, i + 1) for k in by for i, o in enumerate(by[k])}
+    assert {tuple(r) for r in next_in_order(df, "k", ["o"], "o", "n").select("k", "o", "n").collect()} == {(k, o, n) for k in by for o, n in zip(by[k], [*by[k][1:], None])}
 
 
 def test_pairs_and_neighbours_equal_brute_force(spark):

@@ -60,17 +60,32 @@ def test_distributed_assignment_matches_one_kernel(spark):
         assert abs(got - want) < 1e-9
 
 
-def test_components_chains_and_greedy_agree_with_one_task(spark):
+def test_assignment_takes_hashed_ids(spark):
+    """Ids beyond 2**62 and ids that both sides share."""
+    big = 2 ** 63 - 5
+    e = spark.createDataFrame([("m", big, big, 1.0), ("m", big, 7, 2.0), ("m", -big, big, 2.0), ("m", -big, 7, 40.0)], "movie string, aid long, bid long, cost double")
+    for group in (["movie"], None):
+        assert {(r["aid"], r["bid"]) for r in L.assign(e, 50.0, group).collect()} == {(big, 7), (-big, big)}
+
+
+def test_components_chains_and_greedy_equal_plain_python(spark):
     rng = np.random.default_rng(2)
-    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2)) if a != b], "a long, b long")
-    assert {tuple(r) for r in G.connected_components(edges, small=0).collect()} == {tuple(r) for r in G.connected_components(edges).collect()}
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2)) if a != b]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    label = {x: x for p in pairs for x in p}
+    for _ in range(60):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {tuple(r) for r in G.connected_components(edges).collect()} == set(label.items())
     nodes = spark.range(0, 30).withColumnRenamed("id", "node")
     links = spark.createDataFrame([(i, i + 1) for i in range(29) if i not in (7, 20)], "prev long, next long")
-    slow = {tuple(r) for r in G.chain_heads(nodes, links, small=0).collect()}
-    assert slow == {tuple(r) for r in G.chain_heads(nodes, links).collect()} and len({h for _, h in slow}) == 3
-    better = edges.select(F.least("a", "b").alias("win"), F.greatest("a", "b").alias("lose")).distinct()
-    ids = spark.range(0, 60)
-    assert {r[0] for r in G.greedy_keep(ids, better, small=0).collect()} == {r[0] for r in G.greedy_keep(ids, better).collect()}
+    assert {tuple(r) for r in G.chain_heads(nodes, links).collect()} == {(i, 0 if i <= 7 else 8 if i <= 20 else 21) for i in range(30)}
+    better = {(min(p), max(p)) for p in pairs}
+    kept = []
+    for i in range(60):
+        if not any((k, i) in better for k in kept):
+            kept.append(i)
+    assert sorted(r[0] for r in G.greedy_keep(spark.range(0, 60), spark.createDataFrame(sorted(better), "win long, lose long")).collect()) == kept
 
 
 def test_slow_movers_and_gaps(spark):
