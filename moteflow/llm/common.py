@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 UPPER = bytes(range(65, 91))
 #: Byte tables: ASCII capitals become small letters; ALNUM also turns every byte that is no letter, digit or part of a
@@ -31,9 +31,16 @@ def held_out(doc_id: Column, divisor: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor == remainder, F.lit(False))
 
 
-def digest(text: Column) -> Column:
-    """128 bits that stand for a text (or any value) where only equality matters."""
-    return F.struct(F.xxhash64(text, F.lit(1)).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))
+def lowest(df: DataFrame, key: str, size: int) -> DataFrame:
+    """The ``size`` rows of each ``key`` with the smallest hashes of doc_id, numbered in ``n``. Rows whose hash is far above
+    are left out first, by the group's count, so the task that numbers a group sees little more than ``size`` rows. There
+    is one row for each key at the driver (labels, languages)."""
+    counts = {r[0]: r[1] for r in df.groupBy(key).count().collect()}
+    if counts:
+        upto = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (1.2 * size + 200) / n)])[F.col(key)]
+        df = df.where(F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5) <= upto)
+    order = Window.partitionBy(key).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return df.withColumn("n", F.row_number().over(order)).where(F.col("n") <= size)
 
 
 def shards(batches: Iterator[pa.RecordBatch], column: str, limit: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:

@@ -25,9 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from moteflow.llm.common import columns_schema, shards, utf8
+from moteflow.llm.common import columns_schema, lowest, shards, utf8
 from moteflow.session import cut
 
 SAMPLE = 3_000
@@ -84,9 +84,8 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_trees(docs: DataFrame, sample: int = SAMPLE) -> list[Broadcast]:
     """Trees of the languages in ``docs(doc_id, text, lang)``, in blocks. Rows with a null in any of the three are not used."""
     spark = docs.sparkSession
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     able = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
-    ids = able.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample).select("doc_id", "lang")
+    ids = lowest(able.select("doc_id", "lang"), "lang", sample).select("doc_id", "lang")
     train = cut(able.select("doc_id", "lang", "text").join(ids.distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text"))
     used = np.sum([r[0] for r in train.select("text").mapInArrow(_byte_counts, "n array<long>").collect()] or [np.zeros(256)], axis=0)  # one row per task
     if not used.sum():
