@@ -37,13 +37,13 @@ def filtered_tracks(spark, sf):
 
 
 def rois(spark, sf):
-    """One region per nation: a rectangle or a quadrilateral in the movie of the same number."""
-    k = F.col("n_nationkey")
+    """One region per supplier: a rectangle or a quadrilateral in the movie of the same number."""
+    k = F.col("s_suppkey") - 1
     pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     x0, y0 = k * 7 % 90 + 20, k * 11 % 80 + 15
     rect = F.array(pt(x0 + 120, y0 + 110), pt(x0, y0))
     poly = F.array(pt(x0, y0), pt(x0 + 130, y0 + 20), pt(x0 + 90, y0 + 140), pt(x0 + 40, y0 + 60))
-    return V.table(spark, sf, "nation").select(
+    return V.table(spark, sf, "supplier").select(
         F.concat(F.lit("m"), k.cast("string")).alias("movie"), k.alias("roi_id"),
         F.when(k % 2 == 0, F.lit("rect")).otherwise(F.lit("poly")).alias("kind"), F.when(k % 2 == 0, rect).otherwise(poly).alias("pts"))
 
@@ -54,7 +54,7 @@ def _edge(i: int, j: int) -> str:
     return (f"CASE WHEN ({py[i]} > yMean) <> ({py[j]} > yMean) AND xMean < (({px[j]})-({px[i]})) * (yMean-({py[i]})) / CAST(({py[j]})-({py[i]}) AS DOUBLE) + {px[i]} THEN 1 ELSE 0 END")
 
 
-ROI = f"""rois AS (SELECT 'm' || n_nationkey AS movie, n_nationkey AS roi_id, n_nationkey * 7 % 90 + 20 AS x0, n_nationkey * 11 % 80 + 15 AS y0 FROM nation),
+ROI = f"""rois AS (SELECT 'm' || k AS movie, k AS roi_id, k * 7 % 90 + 20 AS x0, k * 11 % 80 + 15 AS y0 FROM (SELECT s_suppkey - 1 AS k FROM supplier)),
 inroi AS (SELECT loc.*, roi_id FROM loc JOIN rois USING (movie) WHERE CASE WHEN roi_id % 2 = 0 THEN xMean BETWEEN x0 AND x0+120 AND yMean BETWEEN y0 AND y0+110
   ELSE ({_edge(0, 3)} + {_edge(1, 0)} + {_edge(2, 1)} + {_edge(3, 2)}) % 2 = 1 END)"""
 

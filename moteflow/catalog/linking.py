@@ -99,10 +99,10 @@ def matched_lobes(spark, sf):
     return rounded(L.match_pairs(e), "weight")
 
 
-@register("renumbered_tracks", f"""WITH {V.LOC}, k AS (SELECT * FROM loc WHERE frame_number >= 4 AND amplitude1 > 120),
+@register("renumbered_tracks", f"""WITH {V.LOC}, k AS (SELECT * FROM loc),
  f AS (SELECT movie, track_number, arg_min(row_id, frame_number) AS fr, min(frame_number) AS ff FROM k GROUP BY ALL),
  n AS (SELECT movie, track_number, row_number() OVER (PARTITION BY movie ORDER BY ff, fr) AS num FROM f)
  SELECT k.movie, row_id, CAST(num AS INTEGER) AS track_number FROM k JOIN n USING (movie, track_number)""")
 def renumbered_tracks(spark, sf):
-    k = V.loc(spark, sf).where("frame_number >= 4 AND amplitude1 > 120").select("movie", "row_id", "frame_number", F.col("track_number").alias("old"))
+    k = V.loc(spark, sf).select("movie", "row_id", "frame_number", F.col("track_number").alias("old"))
     return L.number_tracks(k, "old").select("movie", "row_id", "track_number")

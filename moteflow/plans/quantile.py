@@ -1,4 +1,4 @@
-"""Exact percentiles of groups that may be too large for one task."""
+"""Exact percentiles of groups of any size."""
 
 from __future__ import annotations
 
@@ -6,29 +6,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from moteflow.session import cut
 
-GROUP_ROWS = 2_000_000
+FEW = 2_000_000
 BINS = 4096
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    bound: int = GROUP_ROWS) -> DataFrame:
+                    bound: int = FEW) -> DataFrame:
     """One row per group with linearly interpolated percentiles ``{name: p}`` of the non-null values.
 
-    The built-in ``percentile`` keeps a group's distinct values in one buffer. Groups of at most
-    ``bound`` rows use it; larger ones (a whole movie, or all rows) are narrowed by counting: each pass
-    counts values per bin of the current bracket (combined before the shuffle) and keeps the bin that
-    holds the wanted rank, until the bracket is a single value or small enough to sort.
+    For groups without a bound (a movie, an axis, all rows). Each pass counts values per bin of a target's
+    bracket (combined before the shuffle) and keeps the bin that holds the wanted rank, until the bracket is
+    a single value or holds at most ``bound`` values, which are sorted. A null key is a group of its own.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    aggs = [F.expr(f"percentile(_v, {p}D)").alias(name) for name, p in probs.items()]
-    if size.where(F.col("_n") > bound).isEmpty():
-        return rows.groupBy(*keys).agg(*aggs)
-    if not keys:
-        return _narrow(rows.withColumn("_g", F.lit(0)), ["_g"], probs, bound).drop("_g")
-    big = cut(size.where(F.col("_n") > bound).drop("_n"))
-    small = rows.join(big, keys, "left_anti").groupBy(*keys).agg(*aggs)
-    return small.unionByName(_narrow(rows.join(big, keys, "left_semi"), keys, probs, bound))
+    group = F.struct(*keys) if keys else F.lit(0)
+    rows = df.where(F.col(value).isNotNull()).select(group.alias("_k"), F.col(value).cast("double").alias("_v"))
+    out = _narrow(rows, ["_k"], probs, bound)
+    return out.select(*[F.col(f"_k.{k}").alias(k) for k in keys], *probs)
 
 
 def _narrow(rows: DataFrame, keys: list[str], probs: dict[str, float], bound: int) -> DataFrame:
@@ -76,7 +69,7 @@ def _narrow(rows: DataFrame, keys: list[str], probs: dict[str, float], bound: in
     return both.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("q"))).alias(n) for n in probs])
 
 
-def group_robust_sd(df: DataFrame, keys: list[str], value: str, out: str = "sd", bound: int = GROUP_ROWS) -> DataFrame:
+def group_robust_sd(df: DataFrame, keys: list[str], value: str, out: str = "sd", bound: int = FEW) -> DataFrame:
     """1.4826 x median absolute deviation per group, with its centre ``<out>_centre``."""
     centre = exact_quantiles(df, keys, value, {out + "_centre": 0.5}, bound)
     if keys:
