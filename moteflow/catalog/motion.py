@@ -78,7 +78,7 @@ def likelihood_classes(spark, sf):
     f = V.loc(spark, sf).groupBy("movie", "track_number").agg(b.alias("ll_brownian"), (F.avg("lobeSeparationPixels") / 100).alias("l"), (F.avg("minLobeSNR") / 100).alias("dc"))
     f = f.withColumns({"ll_confined": F.col("ll_brownian") + F.col("track_number") % 11 - 3.0, "ll_directed": F.col("ll_brownian") + F.col("track_number") % 7 - 2.0})
     l, d = F.col("l"), F.col("dc")
-    out = M.classify(f).select("movie", "track_number", "motion_class", "rho_confined", (d * (1 - l) / F.sqrt(1 - (1 - l) * (1 - l))).alias("confinement_sd"), (d * d / 2 / 0.005).alias("D"))
+    out = M.classify(f).select("movie", "track_number", "motion_class", "rho_confined", M.confinement_sd(d, l).alias("confinement_sd"), M.diffusion(d, F.lit(0.005)).alias("D"))
     return rounded(out, "rho_confined", "confinement_sd", "D")
 
 
@@ -86,16 +86,14 @@ def likelihood_classes(spark, sf):
  t AS (SELECT movie, track_number, count(*) FILTER (pm > 0.5) AS frames_moving, coalesce(min(frame_number) FILTER (pm > 0.5), -1) AS moving_from, coalesce(max(frame_number) FILTER (pm > 0.5), -1) AS moving_to FROM p GROUP BY ALL)
  SELECT movie, track_number, frames_moving, moving_from, moving_to FROM t""")
 def moving_episodes(spark, sf):
-    p = V.loc(spark, sf).withColumn("pm", (F.col("row_id") * 37 % 101) / F.lit(100.0))
-    on = F.col("pm") > 0.5
-    return p.groupBy("movie", "track_number").agg(F.count_if(on).alias("frames_moving"), F.coalesce(F.min(F.when(on, F.col("frame_number"))), F.lit(-1)).alias("moving_from"),
-                                                  F.coalesce(F.max(F.when(on, F.col("frame_number"))), F.lit(-1)).alias("moving_to"))
+    p = V.loc(spark, sf).withColumn("p_moving", (F.col("row_id") * 37 % 101) / F.lit(100.0))
+    return p.groupBy("movie", "track_number").agg(*M.moving_columns())
 
 
 @register("moving_share_per_frame", f"""WITH {V.LOC} SELECT movie, frame_number, {R('avg(CASE WHEN (row_id * 37 % 101)/100e0 > 0.5 THEN 1e0 ELSE 0e0 END)')} AS share FROM loc GROUP BY ALL""")
 def moving_share_per_frame(spark, sf):
-    p = V.loc(spark, sf).withColumn("pm", (F.col("row_id") * 37 % 101) / F.lit(100.0))
-    return rounded(p.groupBy("movie", "frame_number").agg(F.avg((F.col("pm") > 0.5).cast("double")).alias("share")), "share")
+    p = V.loc(spark, sf).withColumn("p_moving", (F.col("row_id") * 37 % 101) / F.lit(100.0))
+    return rounded(M.share_moving(p, ["movie", "frame_number"]).withColumnRenamed("share_moving", "share"), "share")
 
 
 @register("quantile_caps", f"""WITH {V.LOC}, t AS (SELECT movie, track_number, median(xPrecisionPx) AS d, CASE WHEN track_number % 9 = 0 THEN 'brownian' ELSE 'directed' END AS cls FROM loc GROUP BY ALL)
