@@ -87,9 +87,9 @@ def given_tracking_summary(spark, sf):
 @register("given_tracker_comparison", f"""WITH {V.LOC}, r AS (SELECT movie, track_number, frame_number, sqrt(pow(xMean - lag(xMean) OVER w, 2) + pow(yMean - lag(yMean) OVER w, 2)) AS s FROM loc WINDOW w AS (PARTITION BY movie, track_number ORDER BY frame_number)),
  p AS (SELECT movie, track_number, count(*) AS n, count(*) FILTER (s > 2) AS swaps, max(frame_number) AS f1 FROM r GROUP BY ALL), l AS (SELECT movie, max(f1) AS nf FROM p GROUP BY movie)
  SELECT movie, 'given' AS method, count(*) AS tracks, count(*) FILTER (n = nf) AS full_length, count(*) FILTER (n >= 10) AS at_least_10, count(*) FILTER (n < 3) AS transient_lt3, median(n) AS median_length,
- {R('CAST(sum(n) FILTER (n >= 10) AS DOUBLE) / (max(nf) * count(*) FILTER (n >= 10))')} AS completeness, CAST(sum(swaps) - sum(swaps) AS BIGINT) AS steps_over_6px FROM p JOIN l USING (movie) GROUP BY movie""")
+ {R('CAST(sum(n) FILTER (n >= 10) AS DOUBLE) / (max(nf) * count(*) FILTER (n >= 10))')} AS completeness, CAST(sum(swaps) AS BIGINT) AS steps_over_2px FROM p JOIN l USING (movie) GROUP BY movie""")
 def given_tracker_comparison(spark, sf):
-    return rounded(Q.compare_trackers(V.loc(spark, sf).withColumn("method", F.lit("given"))), "completeness")
+    return rounded(Q.compare_trackers(V.loc(spark, sf).withColumn("method", F.lit("given")), far_px=2), "completeness")
 
 
 @register("matched_lobes")

@@ -61,13 +61,13 @@ def tracking_summary(rows: DataFrame, min_length: int = 3, extra: list[str] | No
         F.coalesce(F.sum(F.when(~kept, F.col("n"))), F.lit(0).cast("long")).alias("short_rows"))
 
 
-def compare_trackers(rows: DataFrame) -> DataFrame:
-    """Per movie and method: tracks, full-length and long ones, completeness, steps above 6 px."""
+def compare_trackers(rows: DataFrame, far_px: float = 6) -> DataFrame:
+    """Per movie and method: tracks, full-length and long ones, completeness, steps above ``far_px``."""
     keys = ["movie", "method"]
     w = Window.partitionBy(*keys, "track_number").orderBy("frame_number")
     dx, dy = F.col("xMean") - F.lag("xMean").over(w), F.col("yMean") - F.lag("yMean").over(w)
     per = rows.withColumn("_s", F.sqrt(dx * dx + dy * dy)).groupBy(*keys, "track_number").agg(
-        F.count("*").alias("n"), F.count_if(F.col("_s") > 6).alias("swaps"), F.max("frame_number").alias("f1"))
+        F.count("*").alias("n"), F.count_if(F.col("_s") > far_px).alias("swaps"), F.max("frame_number").alias("f1"))
     last = per.groupBy(*keys).agg(F.max("f1").alias("nframes"))
     long_ = F.col("n") >= 10
     return per.join(last, keys).groupBy(*keys).agg(
@@ -75,7 +75,7 @@ def compare_trackers(rows: DataFrame) -> DataFrame:
         F.count_if(long_).alias("at_least_10"), F.count_if(F.col("n") < 3).alias("transient_lt3"),
         F.median("n").alias("median_length"),
         F.try_divide(F.sum(F.when(long_, F.col("n"))).cast("double"), F.max("nframes") * F.count_if(long_)).alias("completeness"),
-        F.sum("swaps").alias("steps_over_6px"))
+        F.sum("swaps").alias(f"steps_over_{far_px:g}px"))
 
 
 def audit(rows: DataFrame) -> DataFrame:

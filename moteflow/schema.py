@@ -19,6 +19,15 @@ REJECT_REASONS = {1: "transient track", 2: "low quality track", 3: "satellite of
 MOTION_CODES = {"brownian": 0, "confined": 1, "directed": 2}
 
 
+# The grammar of recording names.
+IMAGE_ENDING = r"(?i)(\.ome)?\.tiff?$"
+FIRST_POSITION = "_MMStack_Pos0"
+OBJECTIVE_APART = r"(?<![0-9])(4|10|20|40|60|63|100)\s*[xX](?![a-zA-Z0-9])"
+OBJECTIVE_ANY = r"(?<![0-9])(4|10|20|40|60|63|100)[xX]"
+STAGE_SPEED = r"(?i)(?<![\d.])(\d+(?:\.\d+)?)\s*um/?s"
+FRAME_SECONDS = r"(?<![\d.])(\d*\.?\d+)\s*s(?:_|$)"
+
+
 def _field(name: str) -> T.StructField:
     return T.StructField(name, T.IntegerType() if name in INTEGER else T.DoubleType(), True)
 

@@ -39,12 +39,16 @@ def link_stream(rows: DataFrame, method: str = "kalman", cfg: Settings = DEFAULT
     A frame is linked once a frame more than ``lateness`` later has been seen, so rows may arrive out of
     order by that much; rows of frames already linked are returned as late and not linked. State is the
     active tracks (dropped after ``max_frame_gap`` misses) and the rows of frames still open, so it stays
-    bounded however long the movie. ``idle_ms`` closes open frames of a movie that has gone quiet.
+    bounded however long the movie. ``idle_ms`` closes open frames of a movie that has gone quiet; a movie that
+    stays quiet as long again is over, and its state is removed (rows after that start it anew).
     """
     make = {"kalman": KalmanLinker, "nearest": NearestLinker}[method]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         k, frame, pending = _load(make, cfg, state)
+        if state.hasTimedOut and not pending:
+            state.remove()
+            return
         new = [r for b in batches for r in zip(b["frame_number"].astype(int).tolist(), b["row_id"].astype(int).tolist(), b["xMean"].tolist(), b["yMean"].tolist(),
                                                b["angleDegrees"].fillna(0.0).tolist())]
         late = [r for r in new if frame is not None and r[0] <= frame]
