@@ -188,3 +188,26 @@ def not_removed_before(spark, sf):
     r = V.loc(spark, sf)
     gone = r.where("row_id % 3 = 0").withColumns({"xMean": F.col("xMean") + (F.col("row_id") % 9) / F.lit(10.7), "angleDegrees": F.col("angleDegrees") + F.col("row_id") % 5})
     return Y.not_removed_before(r.where("row_id % 4 = 0"), gone).select("row_id")
+
+
+SPLIT = "CASE WHEN track_number % 5 = 0 THEN 1 WHEN track_number % 5 = 1 AND row_id % 3 = 0 THEN 4 END"
+
+
+def _split(spark, sf):
+    """(kept, rejected, removed) by track and row numbers."""
+    r = V.loc(spark, sf).withColumn("reject_reason", F.expr(SPLIT))
+    return r.where("reject_reason IS NULL").drop("reject_reason"), r.where("reject_reason = 1"), r.where("reject_reason = 4").drop("reject_reason")
+
+
+@register("rejected_table", f"WITH {V.LOC} SELECT movie, row_id, track_number, {SPLIT} AS reject_reason FROM loc WHERE {SPLIT} IS NOT NULL")
+def rejected_table(spark, sf):
+    """Rows of rejected tracks and rows removed while recovering, with their reasons."""
+    _, rejected, removed = _split(spark, sf)
+    return C.all_rejected(rejected, removed).select("movie", "row_id", "track_number", "reject_reason")
+
+
+@register("retracking_rows", f"WITH {V.LOC} SELECT movie, row_id, frame_number, {R('xMean')} AS xMean FROM loc WHERE coalesce({SPLIT}, 0) <> 4")
+def retracking_rows(spark, sf):
+    """What a second tracker starts from: kept and rejected rows, none of the removed ones."""
+    kept, rejected, removed = _split(spark, sf)
+    return rounded(C.for_retracking(kept, C.all_rejected(rejected, removed)).select("movie", "row_id", "frame_number", "xMean"), "xMean")

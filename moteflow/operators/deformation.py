@@ -86,32 +86,29 @@ def _sq_dist(P: np.ndarray) -> np.ndarray:
 
 
 def fit_lengths(disp: DataFrame, spacing: DataFrame) -> DataFrame:
-    """Length scale (shared by the components) and amplitudes per movie by marginal likelihood. ``disp``
-    holds one frame's displacements per movie; each candidate length is a task of its own."""
-    d = disp.where("uz IS NOT NULL AND Z IS NOT NULL")
-    cand = d.join(spacing, "movie").withColumn("_f", F.explode(F.array(*[F.lit(f) for f in LENGTHS]))).withColumn("ell", F.col("_f") * F.col("spacing"))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Length scale (shared by the components) and amplitudes per movie by marginal likelihood. ``disp`` holds one frame's
+    displacements per movie. Each candidate of length, component and amplitude is a task of its own; the amplitude is chosen
+    per length and component, then the length by the sum over the components."""
+    each = lambda values, name: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col("u" + c).alias("u"), F.col("v" + c).alias("v")) for c in "xyz"]))
+    cand = disp.where("uz IS NOT NULL AND Z IS NOT NULL").join(spacing, "movie").select("movie", "track_number", "X", "Y", "Z", "spacing", parts.alias("_p")) \
+        .select("*", "_p.*", each(LENGTHS, "_f")).select("*", each(AMPLITUDES, "amplitude")).withColumn("ell", F.col("_f") * F.col("spacing")).drop("_p", "_f", "spacing")
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[:1][["movie", "ell", "axis", "amplitude"]]
+        if len(pdf) < MIN_BEADS:
+            return one.iloc[:0].assign(s2=0.0, lml=0.0)
         pdf = pdf.sort_values("track_number")
-        out = {"movie": pdf["movie"].iloc[0], "ell": pdf["ell"].iloc[0], "lml": -np.inf, "s2x": np.nan, "s2y": np.nan, "s2z": np.nan, "n": len(pdf)}
-        if len(pdf) >= MIN_BEADS:
-            dist2, total = _sq_dist(pdf[["X", "Y", "Z"]].to_numpy(float)), 0.0
-            for c in "xyz":
-                u, v = pdf["u" + c].to_numpy(float), pdf["v" + c].to_numpy(float)
-                mid = np.sort(v)[len(v) >> 1]
-                v0 = max(u.var(ddof=1) - mid, 1e-6 * (1 + mid))
-                fits = [(k[2], f * v0) for f in AMPLITUDES if (k := _kriging(dist2, u, v, out["ell"], f * v0)) is not None]
-                if not fits:
-                    total = -np.inf
-                    break
-                best = max(fits, key=lambda t: t[0])
-                total += best[0]
-                out["s2" + c] = best[1]
-            out["lml"] = total
-        return pd.DataFrame([out])
-
-    scored = cand.groupBy("movie", "ell").applyInPandas(kernel, "movie string, ell double, lml double, s2x double, s2y double, s2z double, n long")
-    return scored.where("lml > double('-Infinity')").groupBy("movie").agg(
+        u, v = pdf["u"].to_numpy(float), pdf["v"].to_numpy(float)
+        mid = np.sort(v)[len(v) // 2]
+        s2 = float(one["amplitude"].iat[0]) * max(u.var(ddof=1) - mid, 1e-6 * (1 + mid))
+        fit = _kriging(_sq_dist(pdf[["X", "Y", "Z"]].to_numpy(float)), u, v, float(one["ell"].iat[0]), s2)
+        return one.assign(s2=s2, lml=fit[2]) if fit else one.iloc[:0].assign(s2=0.0, lml=0.0)
+
+    fits = cand.groupBy("movie", "ell", "axis", "amplitude").applyInPandas(score, "movie string, ell double, axis string, amplitude double, s2 double, lml double")
+    per = fits.groupBy("movie", "ell", "axis").agg(F.max_by("s2", F.struct("lml", -F.col("amplitude"))).alias("s2"), F.max("lml").alias("lml"))
+    per = per.groupBy("movie", "ell").agg(F.count("*").alias("axes"), F.sum("lml").alias("lml"), *[F.max(F.when(F.col("axis") == c, F.col("s2"))).alias("s2" + c) for c in "xyz"])
+    return per.where("axes = 3").groupBy("movie").agg(
         F.max_by(F.struct("ell", "s2x", "s2y", "s2z", "lml"), F.struct("lml", -F.col("ell"))).alias("b")).select("movie", "b.*")
 
 

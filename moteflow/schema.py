@@ -16,6 +16,7 @@ INTEGER = {"frame_number", "track_number", "jointEmitterCount", "recovered", "zS
 # Why a localization was rejected.
 REJECT_REASONS = {1: "transient track", 2: "low quality track", 3: "satellite of a brighter track",
                   4: "removed while recovering", 5: "ghost built from other tracks' lobes"}
+REMOVED = 4
 MOTION_CODES = {"brownian": 0, "confined": 1, "directed": 2}
 
 
