@@ -10,11 +10,13 @@ with the region's smallest id. Candidates whose signatures agree in too few comp
 is over five standard deviations below the threshold), the rest is confirmed on the full shingle sets, and links give components.
 Then, in regions of up to ``REGION`` rows, all pairs of rows that are still in different components are candidates: pairs
 within one component could add nothing. In a region that is larger even at the deepest step, rows outside the component
-of the smallest id form a new region and go through both steps again until none is left, so no size of group is cut off.
+of the smallest id form a new region and go through both steps again until none is left.
 
-Two texts of similarity s are missed in a tree that is cut at depth d with probability 1 - s**d; with 24 trees and the
-first depth of 4 this gives below 1e-7 for s = 0.85 and below 6e-6 for s = 0.8. In crowded regions d is larger, and
-the group's other links have to hold it together.
+What the forest leaves apart is then joined exactly, so that neither the depth of a region nor the size of a group decides what is found.
+All shingles have one order, the rare ones first. Two sets over the threshold share a shingle among the first
+``n - ceil(n * percent / 100) + 1`` of each; every pair of different components that shares one there, and could still reach the threshold
+from its place on, is a candidate. The forest only keeps this join small: rows it has linked are not compared again. The order
+comes from counts over at most ``ORDERED`` shingles; any order gives the same pairs.
 
 Null and empty texts and texts without words have empty sets: no links, a component of their own. Rows that repeat an id
 and its text get the same result each; an id with several texts has the links of all of them. A null
@@ -27,15 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
-from moteflow.llm.hashing import COMPONENTS, scramble, set_kernel, signature_kernel
+from moteflow.llm.common import Flat, shards, utf8
+from moteflow.llm.hashing import COMPONENTS, WordHashes, scramble, set_kernel, shingle_sets, signature_kernel
 from moteflow.plans.graph import connected_components
 from moteflow.session import cut
 
 TREES = 24
 LADDER = (4, 6, 9, 12, 16)
 REGION = 32
+ORDERED = 8_000_000
+FREQUENT = 500_000
 
 
 def _tree(t: int) -> list[int]:
@@ -104,19 +110,72 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach ``percent`` of their union."""
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures let reach ``percent``."""
     s = percent / 100
     least = int(COMPONENTS * max(0.0, s - 5.5 * (s * (1 - s) / COMPONENTS) ** 0.5))
     side = nodes.select("node", "n_shingles", "signature")
-    likely = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b") \
+    return pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b") \
         .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") \
-        .select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long")
-    both = likely.select("a", "b").distinct().join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b") \
+        .select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach ``percent`` of their union."""
+    both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b") \
         .withColumn("i", F.size(F.array_intersect("xa", "xb")))
     return both.where(f"100 * i >= {percent} * (size(xa) + size(xb) - i)").select("a", "b").distinct()
 
 
+def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    texts = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+    return texts.mapInArrow(set_kernel(width), "node long, shingles array<long>")
+
+
+def _prefixes(width: int, percent: int, frequent: Broadcast):
+    """(token, node, component, n, at): the first shingles of each set in the common order, with the set's size and the shingle's place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, (known, times) = WordHashes(), frequent.value
+        for shard in shards(batches, "text", 8_000_000):
+            token, sizes = [], []
+            for s in shingle_sets(utf8(shard["text"]), width, memo):
+                if len(known) and len(s):
+                    k = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[k] == s, times[k], 0), kind="stable")]
+                token.append(s[: len(s) + len(s) * -percent // 100 + 1])
+                sizes.append(len(s))
+            flat = Flat(np.array([len(x) for x in token]))
+            row = np.repeat(np.arange(len(token)), flat.sizes)
+            at = np.arange(len(row)) - np.repeat(flat.starts, flat.sizes)
+            values = np.concatenate(token).view(np.int64) if token else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values), shard["node"].take(pa.array(row)), shard["component"].take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row]), pa.array(at.astype(np.int64))],
+                                             ["token", "node", "component", "n", "at"])
+    return run
+
+
+def _frequent(docs: DataFrame, nodes: DataFrame, width: int) -> Broadcast:
+    """Shingles of more than one set with their counts, from the sets with the smallest hashes of the id."""
+    total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
+    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * min(1, ORDERED / max(total, 1))))
+    counts = _sets_of(docs, some, width).select(F.explode("shingles").alias("token")).groupBy("token").count().where("count > 1")
+    top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()  # at most FREQUENT rows
+    token, times = top["token"].to_numpy().view(np.uint64), top["count"].to_numpy()
+    order = np.argsort(token)
+    return docs.sparkSession.sparkContext.broadcast((token[order], times[order]))
+
+
+def apart_pairs(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+    """Every pair (a, b) of nodes in different components of ``links`` that may reach ``percent``."""
+    label = nodes.select("node").distinct().join(connected_components(links, "a", "b"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    texts = docs.join(label.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "component", "text")
+    rows = texts.mapInArrow(_prefixes(width, percent, _frequent(docs, nodes, width)), "token long, node long, component long, n long, at long")
+    same = Window.partitionBy("token")
+    rows = cut(rows.withColumns({"_lo": F.min("component").over(same), "_hi": F.max("component").over(same)}).where("_lo < _hi").drop("_lo", "_hi"))
+    other = rows.toDF("token", "other", "oc", "on", "oat")
+    return _pairs(rows.join(other, "token").where("component < oc").where(f"100 * least(n, on) >= {percent} * greatest(n, on)")
+                  .where(f"{100 + percent} * least(n - at, on - oat) >= {percent} * (n + on)").select("node", "other"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``: texts are linked when at least ``percent``
     of the union of their ``width``-word shingle sets is shared; a component's id is its smallest doc_id."""
@@ -128,9 +187,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own = first.withColumnRenamed("node", "doc_id")
     nodes = cut(full.join(own, ["set_a", "set_b", "doc_id"]).dropDuplicates(["set_a", "set_b"]).select(F.col("doc_id").alias("node"), "n_shingles", "signature"))
     region = cut(regions(nodes))
-    texts = docs.join(region.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = cut(texts.mapInArrow(set_kernel(width), "node long, shingles array<long>"))
-    links = cut(confirmed(_first_pairs(region), nodes, sets, percent))
+    sets = cut(_sets_of(docs, region, width))
+    links = cut(confirmed(likely(_first_pairs(region), nodes, percent), sets, percent))
     crowded = region.where((F.col("depth") == LADDER[-1]) & (F.col("n") > REGION))
     while True:
         label = cut(connected_components(links, "a", "b"))
@@ -145,12 +203,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         crowded = crowded.join(pivot, ["tree", "depth", "prefix"]).where("component <> pc").drop("component", "pc")
         sizes = crowded.groupBy("tree", "depth", "prefix").agg(F.count("*").alias("left"))
         crowded = cut(crowded.join(sizes, ["tree", "depth", "prefix"]).withColumn("n", F.col("left")).drop("left"))
-        found = cut(confirmed(pairs.unionByName(_first_pairs(crowded)).distinct(), nodes, sets, percent))
+        found = cut(confirmed(likely(pairs.unionByName(_first_pairs(crowded)).distinct(), nodes, percent), sets, percent))
         links = cut(links.unionByName(found))
         if crowded.isEmpty():
             break
         region = crowded
         crowded = crowded.where(F.col("n") > REGION)
+    apart = cut(likely(apart_pairs(docs, nodes, links, width, percent), nodes, percent))
+    ends = apart.select(F.explode(F.array("a", "b")).alias("node"))
+    links = cut(links.unionByName(confirmed(apart, cut(_sets_of(docs, ends, width)), percent)))
     edges = links.unionByName(member.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     label = connected_components(edges, "a", "b").withColumnRenamed("node", "doc_id")
     return signed.select("doc_id", "n_shingles").join(label, "doc_id", "left") \
