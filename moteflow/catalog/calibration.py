@@ -33,7 +33,7 @@ def calibration_holdout(spark, sf):
 def lateral_model(spark, sf):
     """Lateral shift with depth of every scan, beads given by their tracks."""
     r = V.cal_rows(spark, sf).withColumn("z", F.col("frame_number") - F.lit(15.5))
-    return B.lateral_model(cut(r), (896.0, 896.0), rounds=2, inner=2).select("movie", "coef_x", "coef_y")
+    return B.lateral_model(cut(r), (896.0, 896.0)).select("movie", "coef_x", "coef_y")
 
 
 _T = ["1e0", "u", "v"]

@@ -90,3 +90,20 @@ def test_flipping_twice_changes_nothing():
     cal = {"z_limits": (-30., 35.), "lateral": [[1, 2, 3, 4, 5, 6]], "tilt": [.012, -.004]}
     up = K.flip_calibration(cal)
     assert up["z_limits"] == (-35., 30.) and up["lateral"] == [[-1, -2, -3, 4, 5, 6]] and up["tilt"] == [-.012, .004] and K.flip_calibration(up) is up
+
+
+def test_lateral_query_takes_all_passes(spark, sf, monkeypatch):
+    import inspect
+
+    from moteflow.catalog import calibration as C
+    seen, model = {}, inspect.signature(C.B.lateral_model)
+
+    def called(beads, *args, **kwargs):
+        at = model.bind(beads, *args, **kwargs)
+        at.apply_defaults()
+        seen.update(at.arguments)
+        return beads.selectExpr("movie", "array(0D) AS coef_x", "array(0D) AS coef_y")
+
+    monkeypatch.setattr(C.B, "lateral_model", called)
+    C.lateral_model(spark, sf)
+    assert (seen["rounds"], seen["inner"]) == (6, 3)
