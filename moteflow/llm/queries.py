@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moteflow.llm import decontaminate, hidden_markov, license_diagonals, line_runs, lsh_forest, pairwise_quality, poisson_mix, ppm_language, secret_ledger, threshold_topk
+from moteflow.llm import collocations, decontaminate, filter_audit, hidden_markov, html_blocks, license_diagonals, line_runs, lsh_forest, pairwise_quality, poisson_mix, ppm_language, secret_ledger, threshold_topk
 from moteflow.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,26 @@ SELECT doc_id, source, CAST(k AS INTEGER) AS copy, md5('{poisson_mix.SEED}:' ||
 FROM (SELECT doc_id, source, unnest(generate_series(1, n)) AS k FROM n WHERE n > 0)""")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return poisson_mix.mix(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "copy", "shuffle_key")
+
+
+@query("op11_filter_tries", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+             (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+             + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > least, false)::INT AS m
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY 1, 2),
+s AS (SELECT unnest(string_split('ABCDE', '')) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM s a, s b, s c, s d, s e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+p AS (SELECT o, i, CAST(pow(2, instr('ABCDE', o[i]) - 1) AS INT) AS bit, CAST(list_sum([0] || [pow(2, instr('ABCDE', y) - 1) FOR y IN string_split(o[1:i - 1], '') IF y <> '']) AS INT) AS before
+      FROM o, range(1, 6) t(i)),
+r AS (SELECT part, o, i, bit, sum(n) FILTER (m & (bit | before) = 0) AS kept, sum(n) FILTER (m & bit <> 0 AND m & before = 0) AS removed, sum(n) FILTER (m & bit <> 0 AND m & before <> 0) AS redundant,
+             sum(n) FILTER (m = bit) AS unique_fails, sum(good) FILTER (m & bit <> 0 AND m & before = 0) AS good_lost, sum(bad) FILTER (m & bit <> 0 AND m & before = 0) AS toxic_lost
+      FROM c, p GROUP BY 1, 2, 3, 4)
+SELECT part, o AS filter_order, CAST(i AS INTEGER) AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf, "documents").select("doc_id", "text", "source"), table(spark, sf, "labels"))
