@@ -175,3 +175,28 @@ SELECT part, o AS filter_order, CAST(i AS INTEGER) AS step, coalesce(kept, 0)::B
        coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r""")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf, "documents").select("doc_id", "text", "source"), table(spark, sf, "labels"))
+
+
+@query("op12_word_graph", rf"""
+WITH RECURSIVE p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({ASCII_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, range(1, 4) t(k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+x AS (SELECT lang, phrase, max(f) AS m FROM (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f FROM c WHERE k = 3) GROUP BY 1, 2),
+o AS (SELECT c.* FROM c LEFT JOIN x USING (lang, phrase) WHERE m IS NULL OR k = 3 OR 100 * m < 50 * f),
+u AS (SELECT lang, phrase, f, k, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM o)),
+s AS (SELECT u.lang, u.phrase, u.f AS a, l.f AS l, r.f AS r, j, CAST(1000000::HUGEINT * u.f * u.f // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.lp AND l.k = u.j JOIN f r ON r.lang = u.lang AND r.phrase = u.rp AND r.k = u.k - u.j),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b),
+k AS (SELECT e.lang, e.f, array_to_string(e.w[1:2], ' ') AS u, array_to_string(e.w[2:3], ' ') AS v FROM c e JOIN c x ON e.k = 3 AND x.lang = e.lang AND x.phrase = array_to_string(e.w[1:2], ' ') AND x.f = e.f
+      JOIN c y ON y.lang = e.lang AND y.phrase = array_to_string(e.w[2:3], ' ') AND y.f = e.f WHERE x.phrase <> y.phrase),
+h AS (SELECT lang, f, u AS path, u AS node FROM k WHERE NOT EXISTS (SELECT 1 FROM k z WHERE z.lang = k.lang AND z.v = k.u) UNION ALL SELECT h.lang, h.f, path, v FROM h JOIN k ON k.lang = h.lang AND k.u = h.node),
+q AS (SELECT *, count(*) OVER (PARTITION BY lang, path) + 1 AS path_words FROM h)
+SELECT t.lang, rank, t.phrase, a, l, r, n, score, CASE WHEN x.path = y.path THEN x.path_words ELSE t.k END AS path_words
+FROM (SELECT *, len(string_split(phrase, ' ')) AS k FROM t) t JOIN n ON n.lang = t.lang LEFT JOIN q x ON x.lang = t.lang AND x.f = a AND x.node = array_to_string(string_split(t.phrase, ' ')[1:2], ' ')
+LEFT JOIN q y ON y.lang = t.lang AND y.node = array_to_string(string_split(t.phrase, ' ')[-2:], ' ') WHERE rank <= 2000""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf, "documents").select("text", "lang"))
