@@ -200,3 +200,9 @@ FROM (SELECT *, len(string_split(phrase, ' ')) AS k FROM t) t JOIN n ON n.lang =
 LEFT JOIN q y ON y.lang = t.lang AND y.node = array_to_string(string_split(t.phrase, ' ')[-2:], ' ') WHERE rank <= 2000""")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.mine_collocations(table(spark, sf, "documents").select("text", "lang"))
+
+
+@query("op13_recurrent_blocks")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_blocks.extract_text(pages, html_blocks.fit_labeller(pages)).withColumn("n_chars", F.length("text").cast("long"))
