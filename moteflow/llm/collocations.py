@@ -37,6 +37,7 @@ WINDOW_BYTES = 8_000_000
 BUCKET_BYTES = 64_000_000
 SAMPLE_BYTES = 8_000_000
 HOT = 0.002
+PARTS = 16
 #: The end mark is a character that no word holds; every character that ends a piece is turned into it.
 END = b"."
 _TABLE = bytearray(bytes.maketrans(UPPER, UPPER.lower()))
@@ -234,9 +235,12 @@ def mine_collocations(docs: DataFrame, longest: int = 3, least: int = 10, share:
     scored = cuts.join(part.toDF("lang", "lp", "l"), ["lang", "lp"]).join(part.toDF("lang", "rp", "r"), ["lang", "rp"]) \
         .withColumn("score", F.expr("CAST(1000000 AS DECIMAL(7,0)) * (CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0))) div (CAST(l AS DECIMAL(15,0)) * CAST(r AS DECIMAL(15,0)))"))
     best = scored.groupBy("lang", "k", "phrase", "a").agg(F.min(F.struct("score", "c", "l", "r")).alias("b"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     ranked = best.select("lang", "k", "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), F.col("b.score").alias("score")) \
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        .withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    # the first of each part of a lang, then the first of these: no task sees more than PARTS * top phrases of a lang
+    first = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).drop("part")
     ends = ranked.withColumn("u", _head("phrase", str(longest - 1))).withColumn("v", _head("phrase", str(1 - longest)))
     at = ends.join(paths.toDF("lang", "u", "a", "path", "path_words"), ["lang", "u", "a"], "left") \
         .join(paths.select("lang", F.col("node").alias("v"), F.col("path").alias("vp")), ["lang", "v"], "left")
