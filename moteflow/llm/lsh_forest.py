@@ -9,14 +9,14 @@ Candidates come in two steps. First each row is paired with its longest-common-p
 with the region's smallest id. Candidates whose signatures agree in too few components are left out (the margin
 is over five standard deviations below the threshold), the rest is confirmed on the full shingle sets, and links give components.
 Then, in regions of up to ``REGION`` rows, all pairs of rows that are still in different components are candidates: pairs
-within one component could add nothing. In a region that is larger even at the deepest step, rows outside the component
-of the smallest id form a new region and go through both steps again until none is left.
+within one component could add nothing. So a pair whose first labels agree in a tree is compared there, whatever its similarity, unless that
+region was crowded and had to be cut deeper.
 
-What the forest leaves apart is then joined exactly, so that neither the depth of a region nor the size of a group decides what is found.
-All shingles have one order, the rare ones first. Two sets over the threshold share a shingle among the first
-``n - ceil(n * percent / 100) + 1`` of each; every pair of different components that shares one there, and could still reach the threshold
-from its place on, is a candidate. The forest only keeps this join small: rows it has linked are not compared again. The order
-comes from counts over at most ``ORDERED`` shingles; any order gives the same pairs.
+Rows of a crowded region are joined exactly, so that neither the depth of a region nor the size of a group decides what is found.
+All shingles have one order, the rare ones first. Two different sets over the threshold share at least ``need`` shingles, and the first ``1 + EXTRA`` they share (or
+``need``, if that is less) stand among the first ``n - need + 1 + EXTRA`` of each. Shingles that stand in one component only are dropped by an aggregate before the join; pairs of rows of different
+components that share so many there are confirmed on the full sets, with no other filter. The forest only keeps this join small: rows it has linked are not
+compared again. The order comes from counts over at most ``ORDERED`` shingles; any order gives the same pairs.
 
 Null and empty texts and texts without words have empty sets: no links, a component of their own. Rows that repeat an id
 and its text get the same result each; an id with several texts has the links of all of them. A null
@@ -42,6 +42,7 @@ LADDER = (4, 6, 9, 12, 16)
 REGION = 32
 ORDERED = 8_000_000
 FREQUENT = 500_000
+EXTRA = 2
 
 
 def _tree(t: int) -> list[int]:
@@ -80,9 +81,10 @@ def _alike(least: int):
     return run
 
 
-def regions(nodes: DataFrame) -> DataFrame:
+def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tree, depth, prefix, labels, node, n): each row with partners in the shallowest region of at most REGION rows, or in the
-    deepest. The first step works on hashes of the labels; rows without a partner leave before the labels are laid out."""
+    deepest; and (node): the rows of crowded regions, which had to be cut deeper in some tree.
+    The first step works on hashes of the labels; rows without a partner leave before the labels are laid out."""
     rows = nodes.select("node", "signature").mapInArrow(_forest(True), "node long, tree int, h long")
     sizes = rows.groupBy("tree", "h").agg(F.count("*").alias("n")).where("n > 1")
     paired = cut(rows.join(sizes, ["tree", "h"]).select("tree", "node", "n"))
@@ -95,7 +97,7 @@ def regions(nodes: DataFrame) -> DataFrame:
         sizes = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
         here = cut(rows.join(sizes, ["tree", "prefix"]))
         out = out.unionByName(here if depth == LADDER[-1] else here.where(F.col("n") <= REGION))
-    return out
+    return out, paired.where(F.col("n") > REGION).select("node").distinct()
 
 
 def _first_pairs(region: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def _prefixes(width: int, percent: int, frequent: Broadcast):
                 if len(known) and len(s):
                     k = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[k] == s, times[k], 0), kind="stable")]
-                token.append(s[: len(s) + len(s) * -percent // 100 + 1])
+                token.append(s[: len(s) + len(s) * -percent // 100 + 1 + EXTRA])
                 sizes.append(len(s))
             flat = Flat(np.array([len(x) for x in token]))
             row = np.repeat(np.arange(len(token)), flat.sizes)
@@ -165,15 +167,17 @@ def _frequent(docs: DataFrame, nodes: DataFrame, width: int) -> Broadcast:
 
 
 def apart_pairs(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
-    """Every pair (a, b) of nodes in different components of ``links`` that may reach ``percent``."""
+    """Every pair (a, b) of ``nodes(node, n_shingles)`` in different components of ``links`` that may reach ``percent``."""
     label = nodes.select("node").distinct().join(connected_components(links, "a", "b"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     texts = docs.join(label.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "component", "text")
-    rows = texts.mapInArrow(_prefixes(width, percent, _frequent(docs, nodes, width)), "token long, node long, component long, n long, at long")
-    same = Window.partitionBy("token")
-    rows = cut(rows.withColumns({"_lo": F.min("component").over(same), "_hi": F.max("component").over(same)}).where("_lo < _hi").drop("_lo", "_hi"))
+    rows = cut(texts.mapInArrow(_prefixes(width, percent, _frequent(docs, nodes, width)), "token long, node long, component long, n long, at long"))
+    spanning = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    rows = cut(rows.join(spanning, "token", "left_semi"))
     other = rows.toDF("token", "other", "oc", "on", "oat")
-    return _pairs(rows.join(other, "token").where("component < oc").where(f"100 * least(n, on) >= {percent} * greatest(n, on)")
-                  .where(f"{100 + percent} * least(n - at, on - oat) >= {percent} * (n + on)").select("node", "other"))
+    need = f"CAST(ceil({percent} * (n + on) / {100 + percent}) AS BIGINT)"
+    shared = rows.join(other, "token").where("component < oc").where(f"100 * least(n, on) >= {percent} * greatest(n, on) AND {need} <= least(n, on) - CAST(n = on AS INT)") \
+        .where(f"least(n - at, on - oat) >= {need} - {EXTRA}")
+    return _pairs(shared.groupBy("node", "other", "n", "on").agg(F.count("*").alias("c")).where(f"c >= least({1 + EXTRA}, {need})"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -186,32 +190,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     member = cut(full.select("doc_id", "set_a", "set_b").join(first, ["set_a", "set_b"]).where("doc_id <> node").select("doc_id", "node").distinct())
     own = first.withColumnRenamed("node", "doc_id")
     nodes = cut(full.join(own, ["set_a", "set_b", "doc_id"]).dropDuplicates(["set_a", "set_b"]).select(F.col("doc_id").alias("node"), "n_shingles", "signature"))
-    region = cut(regions(nodes))
-    sets = cut(_sets_of(docs, region, width))
+    region, crowd = regions(nodes)
+    region, crowd = cut(region), nodes.join(crowd, "node", "left_semi")
+    sets = cut(_sets_of(docs, region.select("node").unionByName(crowd.select("node")), width))
     links = cut(confirmed(likely(_first_pairs(region), nodes, percent), sets, percent))
-    crowded = region.where((F.col("depth") == LADDER[-1]) & (F.col("n") > REGION))
-    while True:
-        label = cut(connected_components(links, "a", "b"))
-        placed = cut(region.where(F.col("n") <= REGION).select("tree", "depth", "prefix", "node", "n").join(label, "node", "left")
-                     .withColumn("component", F.coalesce("component", "node")))
-        mixed = placed.groupBy("tree", "depth", "prefix").agg((F.min("component") != F.max("component")).alias("m")).where("m").drop("m")
-        open_ = placed.join(mixed, ["tree", "depth", "prefix"]).select("tree", "depth", "prefix", "node", "component")
-        other = open_.select("tree", "depth", "prefix", F.col("node").alias("other"), F.col("component").alias("oc"))
-        pairs = _pairs(open_.join(other, ["tree", "depth", "prefix"]).where("node < other AND component <> oc").select("node", "other"))
-        crowded = cut(crowded.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        pivot = crowded.groupBy("tree", "depth", "prefix").agg(F.min_by("component", "node").alias("pc"))
-        crowded = crowded.join(pivot, ["tree", "depth", "prefix"]).where("component <> pc").drop("component", "pc")
-        sizes = crowded.groupBy("tree", "depth", "prefix").agg(F.count("*").alias("left"))
-        crowded = cut(crowded.join(sizes, ["tree", "depth", "prefix"]).withColumn("n", F.col("left")).drop("left"))
-        found = cut(confirmed(likely(pairs.unionByName(_first_pairs(crowded)).distinct(), nodes, percent), sets, percent))
-        links = cut(links.unionByName(found))
-        if crowded.isEmpty():
-            break
-        region = crowded
-        crowded = crowded.where(F.col("n") > REGION)
-    apart = cut(likely(apart_pairs(docs, nodes, links, width, percent), nodes, percent))
-    ends = apart.select(F.explode(F.array("a", "b")).alias("node"))
-    links = cut(links.unionByName(confirmed(apart, cut(_sets_of(docs, ends, width)), percent)))
+    small = region.where(F.col("n") <= REGION).select("tree", "depth", "prefix", "node")
+    placed = cut(small.join(connected_components(links, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    mixed = placed.groupBy("tree", "depth", "prefix").agg((F.min("component") != F.max("component")).alias("m")).where("m").drop("m")
+    open_ = placed.join(mixed, ["tree", "depth", "prefix"])
+    other = open_.select("tree", "depth", "prefix", F.col("node").alias("other"), F.col("component").alias("oc"))
+    pairs = _pairs(open_.join(other, ["tree", "depth", "prefix"]).where("node < other AND component <> oc").select("node", "other"))
+    links = cut(links.unionByName(confirmed(likely(pairs, nodes, percent), sets, percent)))
+    apart = cut(apart_pairs(docs, crowd, links, width, percent))
+    links = cut(links.unionByName(confirmed(apart, sets, percent)))
     edges = links.unionByName(member.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     label = connected_components(edges, "a", "b").withColumnRenamed("node", "doc_id")
     return signed.select("doc_id", "n_shingles").join(label, "doc_id", "left") \
