@@ -13,9 +13,10 @@ within one component could add nothing. So a pair whose first labels agree in a
 region was crowded and had to be cut deeper.
 
 Rows of a crowded region are joined exactly, so that neither the depth of a region nor the size of a group decides what is found.
-All shingles have one order, the rare ones first. Two different sets over the threshold share at least ``need`` shingles, and the first ``1 + EXTRA`` they share (or
-``need``, if that is less) stand among the first ``n - need + 1 + EXTRA`` of each. Shingles that stand in one component only are dropped by an aggregate before the join; pairs of rows of different
-components that share so many there are confirmed on the full sets, with no other filter. The forest only keeps this join small: rows it has linked are not
+All shingles have one order, the rare ones first. Two different sets over the threshold share at least ``need`` shingles, and the first they share stands
+among the first ``n - need + 1`` of each. Shingles that stand in one component only are dropped by an aggregate before the join; pairs of rows of different
+components that share one there are confirmed on the full sets, with no other filter. A pair that shares many meets at its first: each row knows the ``RECENT`` shingles before its own, and where
+two rows have one of these in common they have met already. The forest only keeps this join small: rows it has linked are not
 compared again. The order comes from counts over at most ``ORDERED`` shingles; any order gives the same pairs.
 
 Null and empty texts and texts without words have empty sets: no links, a component of their own. Rows that repeat an id
@@ -42,7 +43,7 @@ LADDER = (4, 6, 9, 12, 16)
 REGION = 32
 ORDERED = 8_000_000
 FREQUENT = 500_000
-EXTRA = 2
+RECENT = 8
 
 
 def _tree(t: int) -> list[int]:
@@ -134,8 +135,11 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(set_kernel(width), "node long, shingles array<long>")
 
 
+_PREFIX = "token long, node long, component long, n long, at long, before array<long>"
+
+
 def _prefixes(width: int, percent: int, frequent: Broadcast):
-    """(token, node, component, n, at): the first shingles of each set in the common order, with the set's size and the shingle's place."""
+    """(token, node, component, n, at, before): the first shingles of each set in the common order, with the set's size, the shingle's place and the shingles just before it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, (known, times) = WordHashes(), frequent.value
         for shard in shards(batches, "text", 8_000_000):
@@ -144,14 +148,18 @@ def _prefixes(width: int, percent: int, frequent: Broadcast):
                 if len(known) and len(s):
                     k = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[k] == s, times[k], 0), kind="stable")]
-                token.append(s[: len(s) + len(s) * -percent // 100 + 1 + EXTRA])
+                token.append(s[: len(s) + len(s) * -percent // 100 + 1])
                 sizes.append(len(s))
             flat = Flat(np.array([len(x) for x in token]))
             row = np.repeat(np.arange(len(token)), flat.sizes)
             at = np.arange(len(row)) - np.repeat(flat.starts, flat.sizes)
             values = np.concatenate(token).view(np.int64) if token else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(values), shard["node"].take(pa.array(row)), shard["component"].take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row]), pa.array(at.astype(np.int64))],
-                                             ["token", "node", "component", "n", "at"])
+            back = np.arange(-RECENT, 0)
+            real = at[:, None] + back >= 0
+            before = values[(np.arange(len(row))[:, None] + back)[real]]
+            ends = np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(values), shard["node"].take(pa.array(row)), shard["component"].take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row]), pa.array(at.astype(np.int64)),
+                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(before))], ["token", "node", "component", "n", "at", "before"])
     return run
 
 
@@ -170,14 +178,14 @@ def apart_pairs(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int,
     """Every pair (a, b) of ``nodes(node, n_shingles)`` in different components of ``links`` that may reach ``percent``."""
     label = nodes.select("node").distinct().join(connected_components(links, "a", "b"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     texts = docs.join(label.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "component", "text")
-    rows = cut(texts.mapInArrow(_prefixes(width, percent, _frequent(docs, nodes, width)), "token long, node long, component long, n long, at long"))
+    rows = cut(texts.mapInArrow(_prefixes(width, percent, _frequent(docs, nodes, width)), _PREFIX))
     spanning = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     rows = cut(rows.join(spanning, "token", "left_semi"))
-    other = rows.toDF("token", "other", "oc", "on", "oat")
+    other = rows.toDF("token", "other", "oc", "on", "oat", "obefore")
     need = f"CAST(ceil({percent} * (n + on) / {100 + percent}) AS BIGINT)"
     shared = rows.join(other, "token").where("component < oc").where(f"100 * least(n, on) >= {percent} * greatest(n, on) AND {need} <= least(n, on) - CAST(n = on AS INT)") \
-        .where(f"least(n - at, on - oat) >= {need} - {EXTRA}")
-    return _pairs(shared.groupBy("node", "other", "n", "on").agg(F.count("*").alias("c")).where(f"c >= least({1 + EXTRA}, {need})"))
+        .where(f"least(n - at, on - oat) >= {need}").where("NOT arrays_overlap(before, obefore)")
+    return _pairs(shared.select("node", "other"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
