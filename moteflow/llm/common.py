@@ -67,6 +67,14 @@ def columns_schema(df: DataFrame, more: str) -> str:
     return f"{own}, {more}" if more else own
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as ``df`` needs to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or not name.startswith("_"):
+        name = "_" + name
+    return name
+
+
 class Flat:
     """Positions of variable-length groups laid out one after another."""
 

@@ -429,9 +429,11 @@ def layouts(pages: list[list[Block]], count: int = LAYOUTS, seed: int = 5) -> li
 
 
 def fit_labeller(pages: DataFrame, size: int = SAMPLE) -> Labeller:
-    """A labeller fitted on the ``size`` rows of ``pages(page_id, html)`` with the smallest hashes of the id and on layouts made of them."""
-    order = [F.xxhash64("page_id"), "page_id", F.xxhash64("html")]
-    rows = pages.where("html IS NOT NULL").select("page_id", "html").orderBy(*order).limit(size).collect()
+    """A labeller fitted on the ``size`` distinct rows of ``pages(page_id, html)`` with the smallest hashes and on layouts made of them."""
+    key = {"_h": F.xxhash64("page_id", "html")}
+    there = pages.where("html IS NOT NULL").select("page_id", "html").withColumns(key)
+    chosen = there.select("_h").distinct().orderBy("_h").limit(size)  # numbers only: the pages themselves are fetched after
+    rows = there.join(F.broadcast(chosen), "_h").dropDuplicates(["_h"]).orderBy("_h").select("page_id", "html").collect()
     given = []
     for row in rows:
         page = blocks(row["html"])

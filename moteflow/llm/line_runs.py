@@ -16,8 +16,8 @@ least, log2(MIN_WORDS) rounds do, whatever the size of the corpus.
 Names that a third of all lines share collapse by partial aggregation; joins that give names back can be split by Spark.
 
 Lines compare as they are, byte by byte. Null and empty texts and blank lines have no lines to delete and stay. Rows that
-repeat id and text are one document and stay alike; null ids come last in the order. A column named ``_sort``, ``_text`` or
-``_runs`` is not allowed; others are carried along.
+repeat id and text are one document and stay alike; null ids come last in the order. Columns named ``lines_seen`` or ``lines_removed`` are replaced, all
+others are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from moteflow.llm.common import columns_schema, shards, utf8
+from moteflow.llm.common import columns_schema, fresh_name, shards, utf8
 from moteflow.session import cut
 
 MIN_WORDS = 50
@@ -93,19 +93,22 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.groupBy(*AT).agg(F.collect_list(F.struct("s", "size")).alias("runs"))
 
 
-def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard in shards(batches, "text"):
-        texts, n, removed = [], [], []
-        for text, runs in zip(utf8(shard["text"]), shard["_runs"].to_pylist(), strict=True):
-            lines = (text or b"").split(b"\n")
-            places = [i for i, x in enumerate(lines) if x.split()]
-            gone = {places[p] for r in runs or () for p in range(r["s"], r["s"] + r["size"])}
-            texts.append(text if not gone else b"\n".join(x for i, x in enumerate(lines) if i not in gone))
-            n.append(len(places))
-            removed.append(len(gone))
-        at = shard.schema.get_field_index("text")
-        yield shard.set_column(at, "text", pa.array([None if t is None else t.decode() for t in texts], pa.string())).drop_columns(["_sort", "_text", "_runs"]) \
-            .append_column("lines_seen", pa.array(n, pa.int64())).append_column("lines_removed", pa.array(removed, pa.int64()))
+def _delete(added: list[str]):
+    """The rows without the lines in their runs; ``added`` are the columns to drop, the last of which holds the runs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, "text"):
+            texts, n, removed = [], [], []
+            for text, runs in zip(utf8(shard["text"]), shard[added[-1]].to_pylist(), strict=True):
+                lines = (text or b"").split(b"\n")
+                places = [i for i, x in enumerate(lines) if x.split()]
+                gone = {places[p] for r in runs or () for p in range(r["s"], r["s"] + r["size"])}
+                texts.append(text if not gone else b"\n".join(x for i, x in enumerate(lines) if i not in gone))
+                n.append(len(places))
+                removed.append(len(gone))
+            at = shard.schema.get_field_index("text")
+            yield shard.set_column(at, "text", pa.array([None if t is None else t.decode() for t in texts], pa.string())).drop_columns(added) \
+                .append_column("lines_seen", pa.array(n, pa.int64())).append_column("lines_removed", pa.array(removed, pa.int64()))
+    return run
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -113,7 +116,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.drop("lines_seen", "lines_removed")
     place = [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64("text")]
     runs = repeated_runs(docs.select(place[0].alias("d"), place[1].alias("t"), "text"), min_words)
-    keyed = docs.withColumn("_sort", place[0]).withColumn("_text", place[1])
-    joined = keyed.join(runs.select(F.col("d").alias("_sort"), F.col("t").alias("_text"), F.col("runs").alias("_runs")), ["_sort", "_text"], "left") \
-        .select(*docs.columns, "_sort", "_text", "_runs")
-    return joined.mapInArrow(_delete, columns_schema(docs, "lines_seen long, lines_removed long"))
+    added = [fresh_name(docs, c) for c in ("sort", "text", "runs")]
+    keyed = docs.withColumns(dict(zip(added, place, strict=False)))
+    joined = keyed.join(runs.toDF(*added), added[:2], "left").select(*docs.columns, *added)
+    return joined.mapInArrow(_delete(added), columns_schema(docs, "lines_seen long, lines_removed long"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from moteflow.llm.common import Flat, shards, utf8
 from moteflow.llm.hashing import COMPONENTS, WordHashes, scramble, set_kernel, shingle_sets, signature_kernel
 from moteflow.plans.graph import connected_components
-from moteflow.session import cut
+from moteflow.session import cut, discard
 
 TREES = 24
 LADDER = (4, 6, 9, 12, 16)
@@ -178,9 +178,10 @@ def apart_pairs(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int,
     """Every pair (a, b) of ``nodes(node, n_shingles)`` in different components of ``links`` that may reach ``percent``."""
     label = nodes.select("node").distinct().join(connected_components(links, "a", "b"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     texts = docs.join(label.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "component", "text")
-    rows = cut(texts.mapInArrow(_prefixes(width, percent, _frequent(docs, nodes, width)), _PREFIX))
-    spanning = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rows = cut(rows.join(spanning, "token", "left_semi"))
+    every = cut(texts.mapInArrow(_prefixes(width, percent, _frequent(docs, nodes, width)), _PREFIX))
+    spanning = every.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    rows = cut(every.join(spanning, "token", "left_semi"))
+    discard(every)
     other = rows.toDF("token", "other", "oc", "on", "oat", "obefore")
     need = f"CAST(ceil({percent} * (n + on) / {100 + percent}) AS BIGINT)"
     shared = rows.join(other, "token").where("component < oc").where(f"100 * least(n, on) >= {percent} * greatest(n, on) AND {need} <= least(n, on) - CAST(n = on AS INT)") \
@@ -201,16 +202,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     region, crowd = regions(nodes)
     region, crowd = cut(region), nodes.join(crowd, "node", "left_semi")
     sets = cut(_sets_of(docs, region.select("node").unionByName(crowd.select("node")), width))
-    links = cut(confirmed(likely(_first_pairs(region), nodes, percent), sets, percent))
+    first_links = cut(confirmed(likely(_first_pairs(region), nodes, percent), sets, percent))
     small = region.where(F.col("n") <= REGION).select("tree", "depth", "prefix", "node")
-    placed = cut(small.join(connected_components(links, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    placed = cut(small.join(connected_components(first_links, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = placed.groupBy("tree", "depth", "prefix").agg((F.min("component") != F.max("component")).alias("m")).where("m").drop("m")
     open_ = placed.join(mixed, ["tree", "depth", "prefix"])
     other = open_.select("tree", "depth", "prefix", F.col("node").alias("other"), F.col("component").alias("oc"))
     pairs = _pairs(open_.join(other, ["tree", "depth", "prefix"]).where("node < other AND component <> oc").select("node", "other"))
-    links = cut(links.unionByName(confirmed(likely(pairs, nodes, percent), sets, percent)))
-    apart = cut(apart_pairs(docs, crowd, links, width, percent))
-    links = cut(links.unionByName(confirmed(apart, sets, percent)))
+    forest_links = cut(first_links.unionByName(confirmed(likely(pairs, nodes, percent), sets, percent)))
+    apart = cut(apart_pairs(docs, crowd, forest_links, width, percent))
+    links = cut(forest_links.unionByName(confirmed(apart, sets, percent)))
+    discard(region, sets, first_links, placed, forest_links, apart)
     edges = links.unionByName(member.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     label = connected_components(edges, "a", "b").withColumnRenamed("node", "doc_id")
     return signed.select("doc_id", "n_shingles").join(label, "doc_id", "left") \

@@ -3,14 +3,15 @@
 A document's score is linear in features of its whole text. Preference pairs match a document of label 1 with one of
 label 0; the weights minimise the logistic loss of the pairs' feature differences (Newton steps, whose gradient and
 curvature are summed over partitions by Spark). The cut is a score quantile: the one that leaves as large a share below it as
-label 0 has among all training labels. Scores are mapped to (0, 1) so that the cut is at ``CUT``.
+label 0 has among all training rows that have a label and a document; it lies halfway between the two scores around it and comes from all these rows, not from the sample.
+Scores are mapped to (0, 1) so that the cut is at ``CUT``.
 
 Fitted on at most ``SAMPLE`` training rows per label, those with the smallest hash of the id, and ``PARTNERS`` pairs for
 each row of the rarer label. Everything else covers all rows.
 
 Null and empty texts are scored like any other: all their features are 0 but the one that marks them. Labels that are
 null or neither 0 nor 1 are not used; several labels of one document all count. With no label of one kind all scores are
-0.5. Repeated rows get the same score each.
+0.5. Repeated rows get the same score each; rows of equal score are on the same side of the cut, where a score equal to it is above. A column ``quality_score`` is replaced, other columns are carried along.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from moteflow.llm.common import columns_schema, lowest, shards, utf8
+from moteflow.plans.quantile import exact_quantiles
 from moteflow.session import cut
 
 SAMPLE = 10_000
@@ -61,31 +63,39 @@ class Ranker:
     weights: np.ndarray
     cut: float
 
+    def rank(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.centre) / self.scale) @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        s = ((x - self.centre) / self.scale) @ self.weights - self.cut + np.log(CUT / (1 - CUT))
+        s = self.rank(x) - self.cut + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(s, -700, 700)))
 
 
 def fit_ranker(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, partners: int = PARTNERS) -> Ranker | None:
     """``labels(doc_id, quality)``: the training labels. None where one of the two labels has no document."""
     marked = labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = lowest(marked, "quality", sample)
+    chosen = lowest(marked.join(docs.select("doc_id"), "doc_id", "left_semi"), "quality", sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
     train = cut(texts.mapInArrow(_featured, "doc_id long, quality int, n int, features array<double>"))
-    counts = {r[0]: r[1] for r in marked.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("quality").count().collect()}
-    if len(counts) < 2:
-        return None
     table = train.select("quality", "features").toPandas()  # at most 2 * sample rows and repeats of them
-    x, y = np.vstack(table["features"]), table["quality"].to_numpy()
+    if table["quality"].nunique() < 2:
+        return None
+    x = np.vstack(table["features"])
     centre, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
-    weights = _newton(_pairs(train, partners), centre, scale)
-    s = ((x - centre) / scale) @ weights
-    weight = np.where(y == 0, counts[0] / (y == 0).sum(), counts[1] / (y == 1).sum())
-    order = np.argsort(s)
-    below = np.cumsum(weight[order]) / weight.sum()
-    at = min(int(np.searchsorted(below, counts[0] / (counts[0] + counts[1]) - 1e-12)), len(s) - 2) if len(s) > 1 else 0
-    ends = s[order][at : at + 2]
-    return Ranker(centre, scale, weights, float(ends.mean()))
+    ranker = Ranker(centre, scale, _newton(_pairs(train, partners), centre, scale), 0.0)
+    # the cut looks at every labelled row: scores travel to their labels, texts stay where they are
+    scored = cut(docs.select("doc_id", "text").mapInArrow(_ranked(ranker), "doc_id long, rank double").join(marked, "doc_id"))
+    n, below = scored.agg(F.count("*"), F.count_if(F.col("quality") == 0)).first()
+    middle = exact_quantiles(scored, [], "rank", {"cut": (below - 0.5) / (n - 1)}).first()["cut"]
+    return Ranker(centre, scale, ranker.weights, float(middle))
+
+
+def _ranked(ranker: Ranker):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, "text"):
+            x = np.array([features(t) for t in utf8(shard["text"])], float).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([shard["doc_id"], pa.array(ranker.rank(x))], ["doc_id", "rank"])
+    return run
 
 
 def _pairs(train: DataFrame, partners: int) -> DataFrame:

@@ -7,7 +7,8 @@ it depends on nothing else, and any task that is run again gives the same copies
 hash of seed, id and copy over the whole cluster.
 
 Only DataFrame functions are used. The driver holds a row for each named target and the rest, never one for each source.
-The cumulated distributions are short literal arrays.
+The cumulated distributions are literal arrays of at most a few hundred numbers, whatever the rate. A weight that
+would take more than ``MOST`` mean repetitions is refused with an error.
 
 Null and empty texts count no characters; a null source belongs to the rest; a null id hashes as ``null``. Rows that
 share an id get the same number of copies each. If no text has a character, every rate is the number of epochs. Columns
@@ -25,6 +26,9 @@ TARGETS = {"src0": 0.15, "src1": 0.10, "src2": 0.10, "src3": 0.05}
 REST = 0.60
 EPOCHS = 1.0
 SEED = "mix-1"
+#: Largest rate that is inverted as a whole, and the mean repetition above which a target weight counts as unreachable.
+PIECE = 64.0
+MOST = 1_000_000
 
 
 def cumulated(rate: float) -> list[float]:
@@ -56,14 +60,27 @@ def _uniform(key: Column) -> Column:
 
 
 def copies(rate: dict[str | None, float], seed: str = SEED) -> Column:
-    """Number of copies of a row with ``doc_id`` and ``source``."""
-    u = _uniform(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    lists = {g: F.array(*[F.lit(x) for x in cumulated(r)]) for g, r in rate.items()}
-    chosen = lists[None]
-    for g, x in lists.items():
+    """Number of copies of a row with ``doc_id`` and ``source``. A rate above ``PIECE`` is a sum of equal Poisson parts of at most that, each inverted at a hash of its own, so no
+    list is longer than one of ``PIECE``."""
+    high = max(rate.values())
+    if high > MOST:
+        raise ValueError(f"a document would have to be repeated {high:.0f} times on average, over {MOST}: its source has too little text for its weight")
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+
+    def drawn(r: float) -> Column:
+        parts = max(1, math.ceil(r / PIECE))
+        table = F.array(*[F.lit(x) for x in cumulated(r / parts)])
+        first = _uniform(name.cast("binary"))
+        if parts == 1:
+            return F.size(F.filter(table, lambda c: c <= first))
+        more = F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda j: _uniform(F.concat(name, F.lit("#"), j.cast("string")).cast("binary")))
+        return F.aggregate(more, F.lit(0), lambda n, u: n + F.size(F.filter(table, lambda c: c <= u)))
+
+    out = drawn(rate[None])
+    for g, r in rate.items():
         if g is not None:
-            chosen = F.when(F.col("source") == g, x).otherwise(chosen)
-    return F.size(F.filter(chosen, lambda c: c <= u))
+            out = F.when(F.col("source") == g, drawn(r)).otherwise(out)
+    return out
 
 
 def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, rest: float = REST, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:

@@ -7,15 +7,15 @@ code. A context without counts costs nothing to leave. The counts are frozen: sc
 of a text is the sum over its bytes. The language with the shortest code is the prediction; the score is its
 posterior under equal priors.
 
-The ``ALPHABET - 1`` most frequent bytes have symbols of their own, all others share one, within which they are coded
-uniformly. So the code lengths of a language are a table of ALPHABET ** 4 numbers, and a text costs one look-up a byte
-for up to ``BLOCK`` languages; more languages go in further blocks.
+All 256 bytes are symbols, and a mark that is never coded stands before the start of a text. The contexts of each depth are sorted arrays of
+packed symbols: a byte costs a binary search, and the few that were not seen after their deepest context go on one depth lower with the escape added. Up to
+``BLOCK`` languages share the arrays; more languages go in further blocks. Their size is bounded by the training sample.
 
 The trees are fitted on at most ``SAMPLE`` training texts per language, those with the smallest hash of the id; all texts
 are scored as a whole.
 
 A null text or one without a letter is ``und`` with score 0, as is every text when nothing can be learned. Ties go to the
-language that sorts first. Repeated rows get the same result each.
+language that sorts first. Repeated rows get the same result each. Columns that are called like a result are replaced by it; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -27,58 +27,68 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from moteflow.llm.common import columns_schema, lowest, shards, utf8
+from moteflow.llm.common import columns_schema, fresh_name, lowest, shards, utf8
 from moteflow.session import cut
 
 SAMPLE = 3_000
-ALPHABET = 40
 ORDER = 3
 BLOCK = 8
 PIECE = 3_000_000
 UNDETERMINED = "und"
+#: Bits of a packed symbol; bytes are 1 to 256 and 0 is the mark before a text.
+WIDE = 9
 
 
 class ByteTree:
-    """Code lengths in bits: ``table[context and byte, language]``."""
-
-    def __init__(self, langs: list[str], codes: bytes, counts: list[np.ndarray]):
-        self.langs, self.codes = langs, codes
-        self.rest = float(np.log2(max(1, codes.count(0))))
-        self.table = np.stack([self._bits(c) for c in counts], axis=1).astype(np.float32)
-
-    @staticmethod
-    def _bits(count: np.ndarray) -> np.ndarray:
-        full = count.reshape((ALPHABET,) * (ORDER + 1)).astype(float)
-        p = np.full(ALPHABET, 1 / ALPHABET)
-        for order in range(ORDER + 1):
-            c = full.sum(axis=tuple(range(ORDER - order)))
-            n, d = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
-            p = np.where(n == 0, p, np.where(c > 0, c, d * p) / np.maximum(n + d, 1))
-        return -np.log2(p).ravel()
-
-
-def _grams(texts: list[bytes], codes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(index of context and byte for every byte of the texts, first position of each text)."""
-    pad = bytes(ORDER)
-    joined = np.frombuffer(b"".join(x for t in texts for x in (pad, t.translate(codes))), np.uint8).astype(np.int32)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    index = joined[: len(joined) - ORDER].copy()
-    for k in range(1, ORDER + 1):
-        index *= ALPHABET
-        index += joined[k : len(joined) - ORDER + k]
-    keep = np.ones(len(index), bool)  # windows that reach into the padding of the next text
-    for k in range(ORDER):
-        keep[(starts[1:-1] + ORDER * np.arange(1, len(texts)) - ORDER + k)] = False
-    return index[keep], starts
-
-
-def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for t in utf8(batch["text"]):
-            total += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["n"])
+    """Code lengths in bits of a block of languages. Level k has the sorted symbol runs of k + 1 that were seen in any of them with their cost in each, and
+    the contexts of k symbols with the cost of leaving them."""
+
+    def __init__(self, langs: list[str], runs: np.ndarray, counts: np.ndarray):
+        """``runs``: sorted packed runs of ORDER + 1 symbols; ``counts[run, lang]``."""
+        self.langs, self.levels = langs, []
+        levels = [(runs, counts)]
+        for k in range(ORDER, 0, -1):
+            shorter, at = np.unique(levels[0][0] & ((1 << WIDE * k) - 1), return_inverse=True)
+            total = np.zeros((len(shorter), counts.shape[1]))
+            np.add.at(total, at, levels[0][1])
+            levels.insert(0, (shorter, total))
+        for k, (runs, count) in enumerate(levels):
+            contexts, first, at = np.unique(runs >> WIDE, return_index=True, return_inverse=True)
+            n = np.add.reduceat(count, first, axis=0) if len(first) else count
+            d = np.add.reduceat((count > 0).astype(float), first, axis=0) if len(first) else count
+            leave = -np.log2(np.where(n > 0, d / np.maximum(n + d, 1), 1.0))
+            seen = -np.log2(np.where(count > 0, count, 1.0) / np.maximum(n + d, 1)[at])
+            below = self.bits(runs & ((1 << WIDE * k) - 1), k - 1).astype(float)
+            self.levels.append((runs, np.where(count > 0, seen, leave[at] + below).astype(np.float32), contexts, leave.astype(np.float32)))
+
+    def bits(self, runs: np.ndarray, level: int = ORDER) -> np.ndarray:
+        """Cost in each language of the last symbol of each run after the others."""
+        if level < 0:
+            return np.full((len(runs), len(self.langs)), 8.0, np.float32)
+        known, cost, contexts, leave = self.levels[level]
+        if not len(known):
+            return self.bits(runs & ((1 << WIDE * level) - 1), level - 1)
+        at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+        out = cost[at]
+        missed = np.flatnonzero(known[at] != runs)
+        if len(missed):
+            rest = runs[missed]
+            where = np.minimum(np.searchsorted(contexts, rest >> WIDE), len(contexts) - 1)
+            escape = np.where((contexts[where] == rest >> WIDE)[:, None], leave[where], 0)
+            out[missed] = escape + self.bits(rest & ((1 << WIDE * level) - 1), level - 1)
+        return out
+
+
+def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(packed run of ORDER + 1 symbols that ends at every byte of the texts, first position of each text)."""
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    symbols = np.zeros(starts[-1] + ORDER * len(texts), np.int64)
+    place = np.arange(starts[-1]) + ORDER * np.repeat(np.arange(1, len(texts) + 1), np.diff(starts))
+    symbols[place] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    out = symbols[place - ORDER]
+    for k in range(ORDER - 1, -1, -1):
+        out = (out << WIDE) | symbols[place - k]
+    return out, starts
 
 
 def fit_trees(docs: DataFrame, sample: int = SAMPLE) -> list[Broadcast]:
@@ -87,62 +97,42 @@ def fit_trees(docs: DataFrame, sample: int = SAMPLE) -> list[Broadcast]:
     able = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
     ids = lowest(able.select("doc_id", "lang"), "lang", sample).select("doc_id", "lang")
     train = cut(able.select("doc_id", "lang", "text").join(ids.distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text"))
-    used = np.sum([r[0] for r in train.select("text").mapInArrow(_byte_counts, "n array<long>").collect()] or [np.zeros(256)], axis=0)  # one row per task
-    if not used.sum():
-        return []
-    codes = bytearray(256)
-    for code, byte in enumerate(np.argsort(-used, kind="stable")[: ALPHABET - 1]):
-        codes[byte] = code + 1
-    table = bytes(codes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
         for shard in shards(batches, "text", PIECE):
             langs = np.array(shard["lang"].to_pylist(), object)
             texts = utf8(shard["text"])
-            for lang in set(langs):
-                index, _ = _grams([texts[i] for i in np.flatnonzero(langs == lang)], table)
-                total.setdefault(lang, np.zeros(ALPHABET ** (ORDER + 1), np.int64))
-                total[lang] += np.bincount(index, minlength=ALPHABET ** (ORDER + 1))
-            if len(total) > BLOCK:
-                yield from _counted(total)
-        yield from _counted(total)
-
-    sums = cut(train.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+            for lang in sorted(set(langs)):
+                run, n = np.unique(_runs([texts[i] for i in np.flatnonzero(langs == lang)])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(run), pa.string()), pa.array(run), pa.array(n.astype(np.int64))], ["lang", "run", "n"])
+
+    sums = cut(train.mapInArrow(count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")))
     langs = sorted(r[0] for r in sums.select("lang").distinct().collect())
     out = []
-    for i in range(0, len(langs), BLOCK):  # at most BLOCK * ALPHABET ** (ORDER + 1) rows at the driver
+    for i in range(0, len(langs), BLOCK):  # at most as many rows at the driver as the sample has bytes
         block = langs[i : i + BLOCK]
         rows = sums.where(F.col("lang").isin(block)).toArrow()
-        at = np.array([block.index(x) for x in rows["lang"].to_pylist()])
-        full = np.zeros((len(block), ALPHABET ** (ORDER + 1)), np.int64)
-        full[at, rows["gram"].to_numpy()] = rows["n"].to_numpy()
-        out.append(spark.sparkContext.broadcast(ByteTree(block, table, list(full))))
+        runs, at = np.unique(rows["run"].to_numpy(), return_inverse=True)
+        counts = np.zeros((len(runs), len(block)))
+        counts[at, [block.index(x) for x in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
+        out.append(spark.sparkContext.broadcast(ByteTree(block, runs, counts)))
     return out
 
 
-def _counted(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    while total:
-        lang, n = total.popitem()
-        gram = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int32)), pa.array(n[gram])], ["lang", "gram", "n"])
-
-
 def code_lengths(texts: list[bytes], tree: ByteTree) -> np.ndarray:
     """Bits of each text in each language of the block."""
-    index, starts = _grams(texts, tree.codes)
+    runs, starts = _runs(texts)
     bits = np.zeros((len(texts), len(tree.langs)))
     full = np.flatnonzero(np.diff(starts))
     if len(full):
-        bits[full] = np.add.reduceat(tree.table[index], starts[full], axis=0, dtype=np.float64)
-        rest = np.concatenate([[0], np.cumsum(index % ALPHABET == 0)])
-        bits += tree.rest * (rest[starts[1:]] - rest[starts[:-1]])[:, None]
+        bits[full] = np.add.reduceat(tree.bits(runs), starts[full], axis=0, dtype=np.float64)
     return bits
 
 
 def identify(docs: DataFrame, trees: list[Broadcast]) -> DataFrame:
     """``docs`` without its text, with ``lang_pred``, ``lang_score`` and ``lang_bits``, the predicted language's code length."""
-    docs = docs.drop("lang_pred", "lang_score", "lang_bits", "_letters").withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    letters = fresh_name(docs, "letters")
+    docs = docs.drop("lang_pred", "lang_score", "lang_bits").withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, "text", PIECE):
@@ -152,8 +142,8 @@ def identify(docs: DataFrame, trees: list[Broadcast]) -> DataFrame:
             best = bits.argmin(axis=1)
             least = bits[np.arange(len(bits)), best]
             score = 1 / np.exp2(np.minimum(0, least[:, None] - bits)).sum(axis=1)
-            clear = shard["_letters"].to_numpy(zero_copy_only=False) & bool(trees)
-            yield shard.drop_columns(["text", "_letters"]).append_column("lang_pred", pa.array(np.where(clear, names[best], UNDETERMINED), pa.string())) \
+            clear = shard[letters].to_numpy(zero_copy_only=False) & bool(trees)
+            yield shard.drop_columns(["text", letters]).append_column("lang_pred", pa.array(np.where(clear, names[best], UNDETERMINED), pa.string())) \
                 .append_column("lang_score", pa.array(np.where(clear, score, 0.0))).append_column("lang_bits", pa.array(least))
 
-    return docs.mapInArrow(run, columns_schema(docs.drop("text", "_letters"), "lang_pred string, lang_score double, lang_bits double"))
+    return docs.mapInArrow(run, columns_schema(docs.drop("text", letters), "lang_pred string, lang_score double, lang_bits double"))

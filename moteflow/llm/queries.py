@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from moteflow.llm import collocations, decontaminate, filter_audit, hidden_markov, html_blocks, license_diagonals, line_runs, lsh_forest, pairwise_quality, poisson_mix, ppm_language, secret_ledger, threshold_topk
 from moteflow.llm.common import held_out
+from moteflow.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,7 +59,16 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
         .select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits"))
 
 
-@query("op3_lsh_forest")
+@query("op3_lsh_forest", rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.node = e.a),
+c AS (SELECT node AS doc_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf, "documents"), 3, 85)
 
@@ -130,11 +141,31 @@ def _spans(kinds: tuple[str, ...]):
     return F.array_join(F.transform(chosen, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
 
-@query("op9_secret_ledger")
+_RULES = ", ".join("('{}', {}, '{}')".format(k, secret_ledger.KINDS.index(k), p.pattern.decode().replace("'", "''")) for k, p in
+                   [("assign", secret_ledger.ASSIGN), ("access", secret_ledger.ACCESS), ("hex", secret_ledger.HEX), *((k, p) for k, _, p in secret_ledger.MORE)])
+
+
+@query("op9_secret_ledger", f"""
+WITH k(kind, ord, pat) AS (VALUES {_RULES}),
+t AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
+m AS (SELECT text, kind, ord, regexp_extract_all(text, pat) AS m, string_split_regex(text, pat) AS g FROM t, k WHERE regexp_matches(text, pat)),
+p AS (SELECT text, kind, ord, m[i] AS m, CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+f AS (SELECT text, kind, ord, s, s + length(m) AS e FROM p WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, (SELECT pat FROM k WHERE kind = 'assign'), 1)) >= 12 WHEN 'access' THEN length(m) >= 18 ELSE true END),
+a AS (SELECT text, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans FROM f GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       NOT EXISTS (SELECT 1 FROM documents o WHERE o.source = (SELECT max(source) FROM documents) AND coalesce(o.text, '') = coalesce(d.text, '')) AS scanned
+FROM documents d LEFT JOIN a ON a.text = coalesce(d.text, '')""")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    found = secret_ledger.scan_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    """One ledger over two versions of the corpus: first the documents of the source that was added last (the greatest name), then all. ``scanned`` is false for rows whose
+    blob the first version held already."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    ledger = f"{checkpoint_dir(spark).rstrip('/')}/secret_ledger/{uuid.uuid4().hex}"
+    newest = docs.agg(F.max("source")).first()[0]
+    secret_ledger.scan_secrets(docs.where(F.col("source") == newest), ledger)
+    found = secret_ledger.scan_secrets(docs, ledger)
     n = [F.expr(f"CAST(size(filter(findings, f -> f.kind = '{k}')) AS BIGINT) AS n_{k}") for k in secret_ledger.BASE]
-    return found.select("doc_id", *n, F.sha2(_spans(secret_ledger.BASE), 256).alias("base_sha256"), _spans(secret_ledger.KINDS).alias("spans"))
+    return found.select("doc_id", *n, F.sha2(_spans(secret_ledger.BASE), 256).alias("base_sha256"), _spans(secret_ledger.KINDS).alias("spans"), "scanned")
 
 
 _TARGETS = ", ".join(f"('{g}', {w})" for g, w in poisson_mix.TARGETS.items())

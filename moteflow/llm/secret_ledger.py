@@ -60,32 +60,44 @@ def scan_text(text: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
+_TAIL_BYTES = bytes(range(128, 192))
+
+
+def code_points(text: bytes, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans with byte offsets turned into code points; every byte is looked at once."""
+    at, last, count = {}, 0, 0
+    for p in sorted({p for _, *ends in spans for p in ends}):
+        count += len(text[last:p].translate(None, _TAIL_BYTES))
+        at[p], last = count, p
+    return [(k, at[a], at[b]) for k, a, b in spans]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     for shard in shards(batches, "text"):
         found = []
         for text in utf8(shard["text"]):
-            spans = [(k, len(text[:a].decode(errors="replace")), len(text[a:b].decode(errors="replace"))) for k, a, b in scan_text(text)]
-            found.append([{"kind": k, "start": a, "end": a + n} for k, a, n in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))])
+            spans = sorted(code_points(text, scan_text(text)), key=lambda x: (x[1], KINDS.index(x[0])))
+            found.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
         yield pa.RecordBatch.from_arrays([shard["blob"], pa.array(found, kind)], ["blob", "findings"])
 
 
 def read_ledger(spark, ledger: str, rules: str = RULES_VERSION) -> DataFrame:
-    """(blob, findings) of the rule version; empty where the ledger does not exist yet."""
-    schema = f"blob binary, findings {FINDING}, rules string"
+    """(blob, findings, run) of the rule version; empty where the ledger does not exist yet."""
+    schema = f"blob binary, findings {FINDING}, rules string, run string"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
     df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(ledger) if there else spark.createDataFrame([], schema)
-    return df.where(F.col("rules") == rules).select("blob", "findings")
+    return df.where(F.col("rules") == rules).select("blob", "findings", "run")
 
 
 def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: str = RULES_VERSION, key: str = "doc_id") -> DataFrame:
-    """(``key``, blob, findings) for every row of ``docs``, after bringing the ledger up to date."""
-    spark = docs.sparkSession
-    ledger = ledger or f"{checkpoint_dir(spark).rstrip('/')}/secret_ledger/{uuid.uuid4().hex}"
+    """(``key``, blob, findings, scanned) for every row of ``docs``, after bringing the ledger up to date; ``scanned`` tells blobs that this run had to scan from those the ledger had."""
+    spark, run = docs.sparkSession, uuid.uuid4().hex
+    ledger = ledger or f"{checkpoint_dir(spark).rstrip('/')}/secret_ledger/{run}"
     text = F.coalesce("text", F.lit(""))
     paths = docs.select(F.col(key), F.unhex(F.sha2(text, 256)).alias("blob"))
     blobs = docs.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     unseen = blobs.join(read_ledger(spark, ledger, rules).select("blob"), "blob", "left_anti")
-    unseen.mapInArrow(_scan, f"blob binary, findings {FINDING}").withColumn("rules", F.lit(rules)).write.parquet(f"{ledger.rstrip('/')}/{uuid.uuid4().hex}")
-    return paths.join(read_ledger(spark, ledger, rules), "blob").select(key, "blob", "findings")
+    unseen.mapInArrow(_scan, f"blob binary, findings {FINDING}").withColumns({"rules": F.lit(rules), "run": F.lit(run)}).write.parquet(f"{ledger.rstrip('/')}/{run}")
+    return paths.join(read_ledger(spark, ledger, rules), "blob").select(key, "blob", "findings", (F.col("run") == run).alias("scanned"))
