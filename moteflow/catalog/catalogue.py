@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from moteflow.catalog import views as V
@@ -10,7 +12,8 @@ from moteflow.catalog.pairs import LATERAL_COEF
 from moteflow.catalog.registry import R, register, rounded
 from moteflow.operators import drift as D
 from moteflow.plans.number import next_in_order
-from moteflow.sources import tables as S
+from moteflow.session import checkpoint_dir, cut
+from moteflow.sources import parts, tables as S
 
 
 @register("lenient_cast", """WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ' ' || CAST(value AS VARCHAR) || ' ' WHEN 1 THEN 'Yes' WHEN 2 THEN 'FALSE' WHEN 3 THEN '' WHEN 4 THEN event_type ELSE 'nan' END AS s FROM events)
@@ -55,14 +58,13 @@ def recent_inputs(spark, sf):
     return S.recent_inputs(scans, cached)
 
 
-@register("sidecar_matches", """WITH m AS (SELECT p_partkey, p_name || '_' || p_size AS base FROM part), s AS (SELECT ps_key, base AS sbase FROM (SELECT p_partkey AS ps_key, p_name || '_' || substr(CAST(p_size AS VARCHAR), 1, 1) || CASE WHEN p_partkey % 3 = 0 THEN '1' ELSE '' END AS base FROM part WHERE p_partkey % 50 = 0))
+@register("sidecar_matches", """WITH m AS (SELECT p_partkey, p_name || '_' || p_size AS base FROM part), s AS (SELECT ps_key, base AS sbase FROM (SELECT p_partkey AS ps_key, p_name || '_' || substr(CAST(p_size AS VARCHAR), 1, 1) || CASE WHEN p_partkey % 3 = 0 THEN '1' ELSE '' END AS base FROM part))
  SELECT DISTINCT p_partkey, ps_key FROM m JOIN s ON starts_with(base, sbase) OR starts_with(sbase, base)""")
 def sidecar_matches(spark, sf):
-    """Part names as movie names; every fiftieth also names a metadata file."""
+    """Part names as movie names, and as names of metadata files by a shorter number."""
     p = V.table(spark, sf, "part")
     m = p.select("p_partkey", F.concat_ws("_", "p_name", F.col("p_size").cast("string")).alias("base"))
-    s = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("ps_key"), F.concat(F.col("p_name"), F.lit("_"), F.substring(F.col("p_size").cast("string"), 1, 1),
-                                                                                       F.when(F.col("p_partkey") % 3 == 0, "1").otherwise("")).alias("base"))
+    s = p.select(F.col("p_partkey").alias("ps_key"), F.concat(F.col("p_name"), F.lit("_"), F.substring(F.col("p_size").cast("string"), 1, 1), F.when(F.col("p_partkey") % 3 == 0, "1").otherwise("")).alias("base"))
     return S.match_sidecars(m, s).select("p_partkey", "ps_key")
 
 
@@ -89,6 +91,21 @@ def frames_to_refit(spark, sf):
     return S.still_to_do(li.select(*mk(F.col("l_suppkey"))), done)
 
 
+@register("stamped_parts", f"""WITH {V.LOC}, a AS (SELECT movie, max(row_id) AS s FROM loc WHERE frame_number <= 20 GROUP BY movie), b AS (SELECT movie, max(row_id) AS s, count(*) AS n FROM loc GROUP BY movie)
+ SELECT b.movie, CAST(b.s AS VARCHAR) AS stamp, CASE WHEN a.s IS DISTINCT FROM b.s THEN b.n ELSE (SELECT count(*) FROM loc l WHERE l.movie = b.movie AND l.frame_number <= 20) END AS n, a.s IS DISTINCT FROM b.s AS rewritten FROM b LEFT JOIN a USING (movie)""")
+def stamped_parts(spark, sf):
+    """A store of movies written when only 20 frames were there and brought up to date: which parts were replaced, and what they hold."""
+    store = f"{checkpoint_dir(spark).rstrip('/')}/parts/{uuid.uuid4().hex}"
+    rows = V.loc(spark, sf).select(F.col("movie").alias("part"), "row_id", "frame_number")
+    for now in (rows.where("frame_number <= 20"), rows):
+        wanted = now.groupBy("part").agg(F.max("row_id").cast("string").alias("stamp"))
+        stale = cut(parts.stale_parts(wanted, store))
+        parts.replace_parts(now.join(stale.select("part"), "part", "left_semi"), stale, store)
+    held = parts.read_parts(spark, store, "row_id long, frame_number int").groupBy("part").agg(F.count("*").alias("n"))
+    last = stale.select("part", F.lit(True).alias("r"))
+    return parts.read_manifest(spark, store).join(held, "part").join(last, "part", "left").select(F.col("part").alias("movie"), "stamp", "n", F.coalesce("r", F.lit(False)).alias("rewritten"))
+
+
 @register("name_inference", r"""WITH n AS (SELECT page_id, regexp_replace(url, '^https?://', '') || '_' || CASE page_id % 5 WHEN 0 THEN '10x_25ums_0.04s' WHEN 1 THEN '20X 5um/s' WHEN 2 THEN '63x.ome.tif' ELSE 'plain.TIFF' END AS name, CASE WHEN page_id % 2 = 0 THEN 40e0 END AS ms FROM pages),
  k AS (SELECT *, regexp_replace(regexp_replace(string_split_regex(name, '[/\\]')[-1], '(?i)(\.ome)?\.tiff?$', ''), '_MMStack_Pos0', '') AS stem FROM n),
  c AS (SELECT *, regexp_replace(regexp_replace(stem, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') AS cl FROM k)
@@ -131,7 +148,8 @@ def exported_rows(spark, sf):
     return S.export_subset(rows, ids, new).select("movie", "row_id", "track_number", "frame_number")
 
 
-@register("column_json")
+@register("column_json", f"""WITH {V.LOC} SELECT movie, frame_number, count(*) AS n, CAST(to_json({{'track_number': list(track_number ORDER BY row_id), 'xMean': list(round(xMean, 4) ORDER BY row_id), 'yMean': list(round(yMean, 4) ORDER BY row_id),
+  'zMicrons': list(round(zMicrons, 4) ORDER BY row_id)}}) AS VARCHAR) AS data FROM loc GROUP BY ALL""")
 def column_json(spark, sf):
     return S.column_json(V.loc(spark, sf), ["track_number", "xMean", "yMean", "zMicrons"])
 

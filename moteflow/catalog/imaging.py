@@ -134,6 +134,25 @@ def patch_scores(spark, sf):
     return s.select("row_id", F.round("templateScore", 5).alias("templateScore"))
 
 
+@register("camera_windows", f"""WITH {V.LOC}, cam AS (SELECT event_id // 100 AS y, event_id % 100 AS x, 100 + (event_id * 7 % 13) / 3e0 AS o, 1 + (event_id * 11 % 17) / 5e0 AS v, 0.8e0 + (event_id * 3 % 5) / 10e0 AS g FROM events),
+ w AS (SELECT movie, row_id, greatest(CAST(floor(xMean) AS BIGINT) - 9, 0) AS x0, greatest(CAST(floor(yMean) AS BIGINT) - 9, 0) AS y0, CAST(floor(xMean) AS BIGINT) + 9 AS x1, CAST(floor(yMean) AS BIGINT) + 9 AS y1 FROM loc),
+ j AS (SELECT movie, row_id, (x1 - x0 + 1) * (y1 - y0 + 1) AS area, count(cam.x) AS n, sum(o) AS o, sum(v) AS v, sum(g) AS g, sum(o * (cam.x - 3 - x0 + 1) * (cam.y - 5 - y0 + 1)) AS m
+   FROM w LEFT JOIN cam ON cam.x BETWEEN x0 + 3 AND x1 + 3 AND cam.y BETWEEN y0 + 5 AND y1 + 5 GROUP BY movie, row_id, x0, y0, x1, y1)
+ SELECT movie, row_id, n = area AS on_sensor, {R("CASE WHEN n = area THEN o END", 4)} AS offsets, {R("CASE WHEN n = area THEN v END", 4)} AS variances, {R("CASE WHEN n = area THEN g END", 4)} AS gains, {R("CASE WHEN n = area THEN m END", 2)} AS placed FROM j""")
+def camera_windows(spark, sf):
+    """The camera maps under each bead's window on a sensor on which frames begin at (3, 5): their sums, and the offsets weighted by place."""
+    e = F.col("event_id")
+    cam = V.table(spark, sf, "events").select(F.expr("event_id div 100").alias("y"), (e % 100).alias("x"), (F.lit(100.0) + (e * 7 % 13) / F.lit(3.0)).alias("offset"),
+                                              (F.lit(1.0) + (e * 11 % 17) / F.lit(5.0)).alias("variance"), (F.lit(0.8) + (e * 3 % 5) / F.lit(10.0)).alias("gain"))
+    mid = {c: F.floor(F.col(f"{c}Mean")) for c in "xy"}
+    w = V.loc(spark, sf).select("movie", "row_id", F.col("row_id").cast("string").alias("window"), *[F.greatest(mid[c] - 9, F.lit(0)).alias(c + "0") for c in "xy"], *[(mid[c] + 9).alias(c + "1") for c in "xy"])
+    total = lambda f: F.aggregate("camera", F.lit(0.0), lambda s, p: s + F.aggregate(f(p), F.lit(0.0), lambda t, v: t + v))
+    weight = lambda p: F.transform(p["offset"], lambda v, i: v * (p["x"] - F.col("x0") + i % p["wide"] + 1) * (p["y"] - F.col("y0") + F.floor(i / p["wide"]) + 1))
+    out = I.window_camera(w, cam, (3, 5)).select("movie", "row_id", F.col("camera").isNotNull().alias("on_sensor"), total(lambda p: p["offset"]).alias("offsets"),
+                                                 total(lambda p: p["variance"]).alias("variances"), total(lambda p: p["gain"]).alias("gains"), total(weight).alias("placed"))
+    return out.withColumns({c: F.round(c, 4) for c in ("offsets", "variances", "gains")}).withColumn("placed", F.round("placed", 2))
+
+
 @register("localized_beads")
 def localized_beads(spark, sf):
     """Detection on drawn frames with a calibration curve."""

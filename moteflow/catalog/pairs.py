@@ -69,6 +69,41 @@ def angle_to_z(spark, sf):
     return rounded(out.select("row_id", "zStatus", "zMicrons"), "zMicrons")
 
 
+def maps(spark, sf):
+    """A separation map for two movies of three, on a 300 px sensor on which frames begin at (20, 10)."""
+    k = F.substring("movie", 2, 9).cast("int")
+    m = V.loc(spark, sf).select("movie").distinct().where(k % 3 != 0)
+    return C.FieldCurve(V.curve(spark), m.select("movie", F.array(*[((k * 7 + i * 5) % 11 - 5) / F.lit(2.0 + i) for i in range(6)]).alias("coef")), (20.0, 10.0), 300.0)
+
+
+_MAP = " + ".join(f"((k * 7 + {i * 5}) % 11 - 5) / {2.0 + i}e0 * {t}" for i, t in enumerate(("1", "u", "v", "u*u", "u*v", "v*v")))
+FIELD = f"""fl AS (SELECT *, CASE WHEN k % 3 <> 0 THEN {_MAP} ELSE 0 END AS off FROM (SELECT *, CAST(substr(movie, 2) AS INTEGER) AS k, (xMean + 20 - 150.5e0)/150 AS u, (yMean + 10 - 150.5e0)/150 AS v FROM loc)),
+lf AS (SELECT * REPLACE (lobeSeparationPixels - off AS lobeSeparationPixels) FROM fl)"""
+
+
+@register("field_separation_residual", f"""WITH {V.LOC}, {FIELD}, {SLOTS}, {residual_sql('lf', 'row_id', 'angleDegrees', 'lobeSeparationPixels')}
+ SELECT row_id, {R('off')} AS fieldSeparationOffset, {R('residual')} AS residual FROM lf LEFT JOIN res USING (row_id)""")
+def field_separation_residual(spark, sf):
+    """Separations against the curve and each movie's map."""
+    at, curve = (F.col("xMean"), F.col("yMean")), maps(spark, sf)
+    r = C.with_field_offset(V.loc(spark, sf), curve, *at)
+    out = C.separation_residual(r, curve, F.col("angleDegrees"), F.col("lobeSeparationPixels"), at=at)
+    return rounded(out.select("row_id", "fieldSeparationOffset", "residual"), "fieldSeparationOffset", "residual")
+
+
+@register("field_depths", f"""WITH {V.LOC}, {FIELD}, {SEGMENTS},
+roots AS (SELECT row_id, lobeSeparationPixels AS sep, round(z0 + (angleDegrees - a0) / (a1 - a0) * (z1 - z0), 6) AS k,
+  min(z0 + (angleDegrees - a0) / (a1 - a0) * (z1 - z0)) AS z, min(s0 + (angleDegrees - a0) / (a1 - a0) * (s1 - s0)) AS s
+  FROM lf JOIN seg ON angleDegrees BETWEEN least(a0, a1) AND greatest(a0, a1) GROUP BY ALL),
+g AS (SELECT row_id, count(*) AS n, min(z) AS z1, list(abs(sep - s) ORDER BY abs(sep - s)) AS d, arg_min(z, abs(sep - s)) AS zb FROM roots GROUP BY row_id)
+SELECT row_id, {R('off')} AS fieldSeparationOffset, CAST(CASE WHEN n IS NULL THEN 1 WHEN n = 1 THEN 0 WHEN d[2] - d[1] >= 1.5 THEN 3 ELSE 2 END AS INTEGER) AS zStatus,
+ CASE WHEN n = 1 THEN {R('z1')} WHEN d[2] - d[1] >= 1.5 THEN {R('zb')} END AS zMicrons FROM lf LEFT JOIN g USING (row_id)""")
+def field_depths(spark, sf):
+    """Depths told apart by field-corrected separations."""
+    out = C.depths(V.loc(spark, sf), maps(spark, sf))
+    return rounded(out.select("row_id", "fieldSeparationOffset", "zStatus", "zMicrons"), "fieldSeparationOffset", "zMicrons")
+
+
 @register("z_precision", f"""WITH {V.LOC}, {V.CURVE},
 rate AS (SELECT i, z, coalesce((lead(angle) OVER w - lag(angle) OVER w) / (lead(z) OVER w - lag(z) OVER w),
   (lead(angle) OVER w - angle) / (lead(z) OVER w - z), (angle - lag(angle) OVER w) / (z - lag(z) OVER w)) AS rate FROM curve WINDOW w AS (ORDER BY i)),

@@ -32,6 +32,12 @@ def combine(terms: list[Column], coef: list[float] | Column) -> Column:
     return total
 
 
+def separation_offset(x: Column, y: Column, coef: Column, ox: Column | float = 0.0, oy: Column | float = 0.0, sensor: float = 2048.0) -> Column:
+    """How much wider than calibrated lobes stand at an image pixel; 0 where ``coef`` is NULL, that is without a map."""
+    u, v = field_uv(x, y, ox, oy, sensor)
+    return F.coalesce(combine(quadratic_terms(u, v), coef), F.lit(0.0))
+
+
 def sensor_offset(size: Column, sensor: float, roi_at: Column, roi_size: Column) -> Column:
     """Crop position on the sensor: the recorded one when its size matches the image, else centred."""
     return F.when(roi_size == size, roi_at.cast("double")).otherwise((F.lit(sensor) - size) / 2)

@@ -3,14 +3,34 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from moteflow.functions import field as L
 from moteflow.functions.arrays import let
 
 GRID_DEG = 0.05
 
 
+@dataclass(frozen=True)
+class FieldCurve:
+    """A calibration curve with the maps(movie, coef) of ``calibrate.field_map`` for movies whose pixel (0, 0) is the sensor's pixel ``place``.
+    It stands in for the curve wherever separations are judged: they are then judged against the curve's plus the map's at that place."""
+    curve: DataFrame
+    maps: DataFrame
+    place: tuple[float, float] = (0.0, 0.0)
+    sensor: float = 2048.0
+
+
+def with_field_offset(rows: DataFrame, curve: DataFrame | FieldCurve, x: Column, y: Column, out: str = "fieldSeparationOffset") -> DataFrame:
+    """``rows(movie, ...)`` with the map's separation at the one-based image pixel (x, y): 0 for movies without a map. One row per movie is joined."""
+    if not isinstance(curve, FieldCurve):
+        return rows.withColumn(out, F.lit(0.0))
+    maps = curve.maps.select("movie", F.col("coef").alias("_coef"))
+    return rows.join(maps, "movie", "left").withColumn(out, L.separation_offset(x, y, F.col("_coef"), *curve.place, curve.sensor)).drop("_coef")
+
+
 def segments(curve: DataFrame, *extra: str, key: str | None = None) -> DataFrame:
     """Consecutive knots of a curve table (i, z, angle, sep) as segments; with ``key`` of one curve each."""
     w = Window.partitionBy(F.col(key) if key else F.lit(0)).orderBy("i")  # a curve is at most a few 10^4 knots
@@ -92,14 +112,25 @@ def separation_lookup(curve: DataFrame, grid: float = GRID_DEG) -> DataFrame:
     return at.groupBy("slot").agg(F.collect_set(F.col("sep0") + t * (F.col("sep1") - F.col("sep0"))).alias("seps"))
 
 
-def separation_residual(rows: DataFrame, curve: DataFrame, angle: Column, sep: Column, out: str = "residual") -> DataFrame:
+def separation_residual(rows: DataFrame, curve: DataFrame | FieldCurve, angle: Column, sep: Column, out: str = "residual", at: tuple[Column, Column] | None = None) -> DataFrame:
     """Observed minus calibrated separation at the best depth for the angle; NULL where the curve never
-    shows that angle. Broadcast equi-join on the angle grid (3600 slots)."""
+    shows that angle. Broadcast equi-join on the angle grid (3600 slots). With a ``FieldCurve`` the map's separation at
+    ``at``, the one-based image pixel, is taken off first."""
     n = int(round(180 / GRID_DEG))
+    df = rows.withColumns({"_slot": (F.rint(angle / GRID_DEG) % n).cast("int"), "_sep": sep})
+    if isinstance(curve, FieldCurve):
+        df = with_field_offset(df, curve, *at, "_off").withColumn("_sep", F.col("_sep") - F.col("_off")).drop("_off")
+        curve = curve.curve
     look = F.broadcast(separation_lookup(curve).withColumnsRenamed({"slot": "_slot"}))
-    df = rows.withColumns({"_slot": (F.rint(angle / GRID_DEG) % n).cast("int"), "_sep": sep}).join(look, "_slot", "left")
     best = F.array_min(F.transform("seps", lambda s: F.struct(F.abs(F.col("_sep") - s).alias("d"), (F.col("_sep") - s).alias("r"))))
-    return df.withColumn(out, best["r"]).drop("_slot", "_sep", "seps")
+    return df.join(look, "_slot", "left").withColumn(out, best["r"]).drop("_slot", "_sep", "seps")
+
+
+def depths(rows: DataFrame, curve: DataFrame | FieldCurve, limits: tuple[float, float] | None = None, **names: str) -> DataFrame:
+    """``angle_to_z`` of localizations by their field-corrected separations, with ``fieldSeparationOffset``."""
+    rows = with_field_offset(rows, curve, F.col("xMean"), F.col("yMean"))
+    plain = curve.curve if isinstance(curve, FieldCurve) else curve
+    return angle_to_z(rows, plain, F.col("lobeSeparationPixels") - F.col("fieldSeparationOffset"), limits, **names)
 
 
 def with_rate(curve: DataFrame) -> DataFrame:
@@ -125,6 +156,13 @@ def interpolate_rate(rows: DataFrame, curve: DataFrame, z: str = "zMicrons", out
         .drop("_bin", "_z", "segs")
 
 
+def depth_precision(rows: DataFrame, curve: DataFrame, out: str = "zPrecisionUm") -> DataFrame:
+    """Standard deviation of the depth: that of the angle over the rotation rate at the row's depth; where it is unknown, the movie's median, and 1 in a movie without any."""
+    rated = interpolate_rate(rows, curve, out="_rate").withColumn(out, F.col("anglePrecisionDeg") / F.greatest(F.abs("_rate"), F.lit(1e-6))).drop("_rate")
+    middle = rated.groupBy("movie").agg(F.median(out).alias("_mid"))
+    return rated.join(middle, "movie", "left").withColumn(out, F.coalesce(out, "_mid", F.lit(1.0))).drop("_mid")
+
+
 def flip_z(df: DataFrame, columns: list[str], convention: str | None) -> DataFrame:
     """Stack-order z to height (up positive); tables already marked 'up' are returned unchanged."""
     if convention == "up":

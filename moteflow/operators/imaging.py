@@ -171,17 +171,18 @@ def detect_peaks(frames: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     return out.withColumn("peak", F.xxhash64("movie", "frame", "x", "y"))
 
 
-def peak_edges(peaks: DataFrame, cfg: Settings, curve: DataFrame | None) -> DataFrame:
+def peak_edges(peaks: DataFrame, cfg: Settings, curve: DataFrame | K.FieldCurve | None) -> DataFrame:
     """Pairs of peaks that could be the two lobes of one bead: similar, one of them strong, and at a
     plausible (with a curve: the calibrated) separation."""
     ab = close_pairs(peaks.select("movie", "frame", "peak", "x", "y", "value", "strong"), cfg.max_separation, ["movie", "frame"], "x", "y", "peak")
     hi, lo = F.greatest("a.value", "b.value"), F.least("a.value", "b.value")
     ab = ab.where((hi <= lo * cfg.seed_max_ratio) & (hi >= F.col("a.strong")))
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
-    e = ab.select("movie", "frame", F.col("a.peak").alias("a"), F.col("b.peak").alias("b"), P.separation(dx, dy).alias("sep"), P.pair_angle(dx, dy).alias("angle"))
+    e = ab.select("movie", "frame", F.col("a.peak").alias("a"), F.col("b.peak").alias("b"), P.separation(dx, dy).alias("sep"), P.pair_angle(dx, dy).alias("angle"),
+                  *[((F.col(f"a.{c}") + F.col(f"b.{c}")) / 2).alias("m" + c) for c in "xy"])
     if curve is None:
         return e.where(F.col("sep") >= cfg.min_separation - 2)
-    e = K.separation_residual(e, curve, F.col("angle"), F.col("sep"))
+    e = K.separation_residual(e, curve, F.col("angle"), F.col("sep"), at=(F.col("mx") + 1, F.col("my") + 1))
     return e.where(F.abs("residual") <= cfg.sep_gate_px + cfg.prune_slack_px)
 
 
@@ -256,23 +257,20 @@ LOBES = T.StructType([T.StructField(n, t) for n, t in (
     ("sigma", T.DoubleType()), ("at_bound", T.BooleanType()), ("rms", T.DoubleType()), ("background", T.ArrayType(T.DoubleType())), ("cov_rows", T.ArrayType(T.DoubleType())))])
 
 
-def window_crops(windows: DataFrame, frames: DataFrame, camera: bool = False) -> DataFrame:
+def window_crops(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """Each window with its own pixels: windows are packed per frame, so a frame is read once and only
     crops travel on."""
-    cols = ["window", "x0", "y0", "x1", "y1", "seeds"] + (["bounds"] if "bounds" in windows.columns else [])
+    cols = ["window", "x0", "y0", "x1", "y1", "seeds"] + [c for c in ("bounds", "camera") if c in windows.columns]
     packed = windows.groupBy("movie", "frame").agg(F.collect_list(F.struct(*cols)).alias("w"))
     crop = lambda src: F.flatten(F.transform(F.sequence(F.col("y0"), F.col("y1")), lambda y: F.slice(F.col(src), (y * F.col("width") + F.col("x0") + 1).cast("int"), (F.col("x1") - F.col("x0") + 1).cast("int"))))
-    j = packed.join(frames.select("movie", "frame", "height", "width", "pixels", *(["offset", "variance", "gain"] if camera else [])), ["movie", "frame"])
-    out = j.withColumn("_w", F.explode("w")).select("*", "_w.*").withColumn("patch", crop("pixels"))
-    if camera:
-        out = out.withColumns({c: crop(c) for c in ("offset", "variance", "gain")})
-    return out.drop("_w", "w", "pixels")
+    j = packed.join(frames.select("movie", "frame", "height", "width", "pixels"), ["movie", "frame"])
+    return j.withColumn("_w", F.explode("w")).select("*", "_w.*").withColumn("patch", crop("pixels")).drop("_w", "w", "pixels")
 
 
 def fit_lobes(crops: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """One row per fitted Gaussian; windows that fail give none. ``cov_rows`` are the two rows of the
-    window's centre covariance that belong to the lobe."""
-    camera = "gain" in crops.columns
+    window's centre covariance that belong to the lobe. Windows with ``camera`` pieces are fitted by the camera's likelihood."""
+    camera = "camera" in crops.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -281,7 +279,7 @@ def fit_lobes(crops: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
                 shape = (int(r.y1 - r.y0 + 1), int(r.x1 - r.x0 + 1))
                 seeds = np.array([[s["x"], s["y"]] for s in r.seeds], float)
                 bounds = np.asarray(r.bounds, float) if hasattr(r, "bounds") else np.full(len(seeds), cfg.center_bound)
-                cam = tuple(np.asarray(v, float) for v in (r.offset, r.variance, r.gain)) if camera else None
+                cam = _assembled(r.camera, (int(r.x0), int(r.y0)), shape) if camera and r.camera is not None else None
                 fit = I.fit_window(np.asarray(r.patch, float).reshape(shape), (int(r.x0), int(r.y0)), seeds, bounds, cfg, cam)
                 if fit is None:
                     continue
@@ -289,40 +287,47 @@ def fit_lobes(crops: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
                 for k in range(len(par)):
                     out.append((r.movie, r.frame, r.window, k, *par[k], bool(bad[k]), rms, bg.tolist(), cov[2 * k:2 * k + 2].ravel().tolist()))
             yield pd.DataFrame(out, columns=[f.name for f in LOBES.fields])
-    keep = ["movie", "frame", "window", "x0", "y0", "x1", "y1", "seeds", "patch"] + (["bounds"] if "bounds" in crops.columns else []) + (["offset", "variance", "gain"] if camera else [])
+    keep = ["movie", "frame", "window", "x0", "y0", "x1", "y1", "seeds", "patch"] + [c for c in ("bounds", "camera") if c in crops.columns]
     n = crops.sparkSession.sparkContext.defaultParallelism
     return crops.select(*keep).repartition(max(n, 4 * n), "window").mapInPandas(run, LOBES)
 
 
-def pair_lobes(lobes: DataFrame, noise: DataFrame, windows: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | None = None) -> DataFrame:
-    """Localizations from fitted lobes: plausible pairs inside each window, maximum-weight matching, then
-    leftover lobes paired with a lobe that hides two; only pairs centred in the window's core."""
+def usable_lobe(cfg: Settings) -> Column:
+    """Whether a fitted lobe may be paired: free of its bounds, inside the frame and bright enough. Needs noise, width and height."""
+    return ~F.col("at_bound") & F.col("x").between(0, F.col("width") - 1) & F.col("y").between(0, F.col("height") - 1) & (F.col("amp") >= P.lobe_floor(F.col("noise"), cfg))
+
+
+def window_pairs(lobes: DataFrame, noise: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | K.FieldCurve | None = None) -> DataFrame:
+    """Plausible pairs inside each window by maximum-weight matching, then leftover lobes with a lobe that hides two."""
     l = lobes.join(noise.select("movie", "frame", "noise", "height", "width").distinct(), ["movie", "frame"])
-    usable = ~F.col("at_bound") & F.col("x").between(0, F.col("width") - 1) & F.col("y").between(0, F.col("height") - 1) & (F.col("amp") >= P.lobe_floor(F.col("noise"), cfg))
-    l = cut(l.withColumns({"usable": usable, "id": F.xxhash64("movie", "frame", "window", "lobe")}))
+    l = cut(l.withColumns({"usable": usable_lobe(cfg), "id": F.xxhash64("movie", "frame", "window", "lobe")}))
     keep = ["id", "lobe", "x", "y", "amp", "sigma", "noise", "rms", "background", "cov_rows"]
     on = ["movie", "frame", "window"]
     ab = close_pairs(l.where("usable").select(*on, *keep), cfg.max_separation, on, "x", "y", "id")
     flat = [*on, *[F.col(f"{s}.{c}").alias(s + "_" + c) for s in "ab" for c in keep]]
-    ab = _scored(ab.select(*flat), cfg, curve, F.col("a_amp"))
+    ab = scored_pairs(ab.select(*flat), cfg, curve, F.col("a_amp"))
     if cfg.min_pair_snr > 0:
         ab = ab.where(P.pair_snr(F.col("a_amp"), F.col("a_sigma"), F.col("b_amp"), F.col("b_sigma"), F.col("a_noise")) >= cfg.min_pair_snr)
     ab = cut(ab.where(F.col("pairCost") <= cfg.pair_gate_cost))
     m = match_pairs(ab.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (F.lit(cfg.pair_gate_cost + 1) - F.col("pairCost")).alias("weight")))
     pairs = cut(ab.join(m.select(F.col("a").alias("a_id"), F.col("b").alias("b_id")), ["a_id", "b_id"]).withColumn("sharedLobe", F.lit(0)))
-    out = pairs
-    if curve is not None:
-        out = out.unionByName(_shared_pairs(l, pairs, cfg, curve, on, keep))
+    return pairs if curve is None else pairs.unionByName(_shared_pairs(l, pairs, cfg, curve, on, keep))
+
+
+def pair_lobes(lobes: DataFrame, noise: DataFrame, windows: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | K.FieldCurve | None = None) -> DataFrame:
+    """Localizations from fitted lobes: ``window_pairs`` that are centred in their window's core."""
+    out = window_pairs(lobes, noise, cfg, curve)
     mx, my = (F.col("a_x") + F.col("b_x")) / 2, (F.col("a_y") + F.col("b_y")) / 2
     core = windows.select("window", "cx0", "cy0", "cx1", "cy1")
     out = out.join(core, "window").where(mx.between(F.col("cx0"), F.col("cx1")) & my.between(F.col("cy0"), F.col("cy1")))
-    return out.withColumn("jointEmitterCount", F.count("*").over(Window.partitionBy(*on)).cast("int"))
+    return out.withColumn("jointEmitterCount", F.count("*").over(Window.partitionBy("movie", "frame", "window")).cast("int"))
 
 
-def _scored(ab: DataFrame, cfg: Settings, curve: DataFrame | None, a_amp: Column, b_amp: Column | None = None) -> DataFrame:
+def scored_pairs(ab: DataFrame, cfg: Settings, curve: DataFrame | K.FieldCurve | None, a_amp: Column, b_amp: Column | None = None) -> DataFrame:
     dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
     ab = ab.withColumns({"sep": P.separation(dx, dy), "angle": P.pair_angle(dx, dy)})
-    ab = K.separation_residual(ab, curve, F.col("angle"), F.col("sep")) if curve is not None else ab.withColumn("residual", F.lit(None).cast("double"))
+    middle = tuple((F.col(f"a_{c}") + F.col(f"b_{c}")) / 2 + 1 for c in "xy")
+    ab = K.separation_residual(ab, curve, F.col("angle"), F.col("sep"), at=middle) if curve is not None else ab.withColumn("residual", F.lit(None).cast("double"))
     return ab.withColumn("pairCost", P.pair_cost(a_amp, F.col("a_sigma"), F.col("b_amp") if b_amp is None else b_amp, F.col("b_sigma"), F.col("sep"), F.col("residual"), F.col("a_noise"), cfg))
 
 
@@ -335,11 +340,86 @@ def _shared_pairs(l: DataFrame, pairs: DataFrame, cfg: Settings, curve: DataFram
     host = l.join(mate, "id")
     j = near_join(side(left, "a"), side(host, "b", ["mate"]), cfg.max_separation, on, ("a_x", "a_y"), ("b_x", "b_y"),
                   (F.col("a_amp") >= F.col("b_amp") * cfg.ring_shadow_ratio) & (F.col("b_amp") - F.col("mate") >= F.col("a_amp") * cfg.shared_excess))
-    s = _scored(j.drop("mate"), cfg, curve, F.col("a_amp"), F.col("a_amp")).where(F.col("residual").isNotNull() & (F.col("pairCost") <= cfg.pair_gate_cost))
+    s = scored_pairs(j.drop("mate"), cfg, curve, F.col("a_amp"), F.col("a_amp")).where(F.col("residual").isNotNull() & (F.col("pairCost") <= cfg.pair_gate_cost))
     best = s.groupBy("a_id").agg(F.min_by(F.struct(*[c for c in s.columns if c != "a_id"]), F.struct("pairCost", "b_id")).alias("s"))
     return best.select("a_id", "s.*").withColumn("sharedLobe", F.lit(1)).select(pairs.columns)
 
 
+# ------------------------------------------------------------------ splitting
+
+def wide_lobes(lobes: DataFrame, noise: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """(movie, frame, window, k, wide): usable lobes wider than ``split_sigma_ratio`` times the median width of the other usable
+    lobes of their window, of which there are two or more; ``wide`` numbers a window's from the widest."""
+    on = ["movie", "frame", "window"]
+    l = lobes.join(noise.select("movie", "frame", "noise", "height", "width").distinct(), ["movie", "frame"]).where(usable_lobe(cfg))
+    w = l.groupBy(*on).agg(F.collect_list(F.struct("lobe", "sigma")).alias("w")).where("size(w) >= 3")  # the lobes of one window
+    others = lambda s: F.transform(F.filter("w", lambda o: o["lobe"] != s["lobe"]), lambda o: o["sigma"])
+    wide = F.filter("w", lambda s: s["sigma"] > array_median(others(s)) * cfg.split_sigma_ratio)
+    order = F.reverse(F.array_sort(F.transform(wide, lambda s: F.struct(s["sigma"].alias("sigma"), (-s["lobe"]).alias("lobe")))))
+    return w.select(*on, F.posexplode(order).alias("wide", "s")).select(*on, (-F.col("s.lobe")).alias("k"), "wide")
+
+
+def split_fits(crops: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """For each window and wide lobe ``k``: the window's lobes with that one replaced by two along its long axis and its neighbourhood fitted again.
+    The variant's window is named ``window#k``; no rows where the light is not elongated or the fit fails."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                patch = np.asarray(r.patch, float).reshape(int(r.y1 - r.y0 + 1), int(r.x1 - r.x0 + 1))
+                lobes = np.array([[v["amp"], v["x"], v["y"], v["sigma"]] for v in r.lobes])
+                cov = np.array([v["cov_rows"] for v in r.lobes], float).reshape(2 * len(lobes), 2 * len(lobes))
+                split = I.split_fit(patch, np.array([r.x0, r.y0], float), lobes, np.array([v["at_bound"] for v in r.lobes]), cov, np.asarray(r.background, float), int(r.k), cfg)
+                if split is not None:
+                    par, bad, cov = split
+                    out += [(r.movie, r.frame, f"{r.window}#{r.k}", i, *par[i], bool(bad[i]), r.rms, list(r.background), cov[2 * i:2 * i + 2].ravel().tolist()) for i in range(len(par))]
+            yield pd.DataFrame(out, columns=[f.name for f in LOBES.fields])
+    n = crops.sparkSession.sparkContext.defaultParallelism
+    keep = ["movie", "frame", "window", "k", "x0", "y0", "x1", "y1", "patch", "lobes", "background", "rms"]
+    return crops.select(*keep).repartition(4 * n, "window", "k").mapInPandas(run, LOBES)
+
+
+def split_wide_lobes(lobes: DataFrame, noise: DataFrame, windows: DataFrame, frames: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | K.FieldCurve | None = None, rounds: int = 2) -> DataFrame:
+    """Lobes in which two merged ones are told apart where that pairs better.
+
+    All wide lobes of all windows are split at once, each as a variant of its window; variants are paired like windows. The widest lobe whose variant gives
+    more beads, or as many at a total cost lower by more than ``split_min_gain``, is taken; such windows get a second round. Of a window's variants the
+    first ``split_max_tries`` count, over both rounds."""
+    on = ["movie", "frame", "window"]
+    size = F.struct("lobe", "amp", "x", "y", "sigma", "at_bound", "cov_rows")
+    used = None
+    for _ in range(rounds):
+        wide = wide_lobes(lobes, noise, cfg)
+        if used is not None:
+            wide = wide.join(used, on)
+        wide = cut(wide)
+        if wide.isEmpty():
+            break
+        touched = lobes.join(wide.select(on).distinct(), on, "left_semi")
+        packed = touched.groupBy(*on).agg(F.array_sort(F.collect_list(size)).alias("lobes"), F.first("background").alias("background"), F.first("rms").alias("rms"))
+        crops = window_crops(windows.join(wide.select(on).distinct(), on, "left_semi"), frames).drop("seeds")
+        variants = cut(split_fits(crops.join(packed, on).join(wide.select(*on, "k"), on), cfg))
+        base = F.substring_index("window", "#", 1)
+        made = variants.select("movie", "frame", base.alias("of"), "window").distinct() \
+            .join(wide.withColumnRenamed("window", "of").withColumn("window", F.concat_ws("#", "of", "k")).drop("k"), ["movie", "frame", "of", "window"])
+        tries = F.row_number().over(Window.partitionBy("movie", "frame", "of").orderBy("wide"))
+        made = made.withColumn("try", tries if used is None else tries + F.col("tries")).where(F.col("try") <= cfg.split_max_tries)
+        made = cut(made.select("movie", "frame", "of", "window", "try"))
+        score = lambda df: window_pairs(df, noise, cfg, curve).groupBy(*on).agg(F.count("*").alias("beads"), F.sum("pairCost").alias("cost"))
+        old = score(touched).select("movie", "frame", F.col("window").alias("of"), F.col("beads").alias("beads0"), F.col("cost").alias("cost0"))
+        new = score(variants.join(made.select(on), on, "left_semi"))
+        zero = {"beads": 0, "beads0": 0, "cost": 0.0, "cost0": 0.0}
+        better = made.join(new, on, "left").join(old, ["movie", "frame", "of"], "left").fillna(zero) \
+            .where(f"beads > beads0 OR (beads = beads0 AND cost < cost0 - {cfg.split_min_gain})")
+        taken = cut(better.groupBy("movie", "frame", "of").agg(F.min_by("window", "try").alias("window"), F.min("try").alias("tries")))
+        if taken.isEmpty():
+            break
+        rest = lobes.join(taken.select("movie", "frame", F.col("of").alias("window")), on, "left_anti")
+        lobes = cut(rest.unionByName(variants.join(taken, on).withColumn("window", F.col("of")).select(lobes.columns)))
+        used = taken.select("movie", "frame", F.col("of").alias("window"), "tries")
+    return lobes
+
+
 def to_localizations(pairs: DataFrame, recovered: int = 0) -> DataFrame:
     """Rows with the localization columns; lobes in canonical order, pixels one-based."""
     dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
@@ -382,25 +462,61 @@ def roi_signals(rows: DataFrame, frames: DataFrame, radius: float = 5.0) -> Data
     return rows.join(out, ["movie", "row_id"])
 
 
-def with_camera(frames: DataFrame, camera: DataFrame) -> DataFrame:
-    """Frames with their sensor's maps as arrays beside the pixels. camera(y, x, offset, variance, gain) has
-    one row per sensor pixel and the size of the frames."""
-    names = ["offset", "variance", "gain"]
-    s = F.array_sort(F.collect_list(F.struct("y", "x", *names)))
-    one = camera.agg(s.alias("s")).select(F.lit(1).alias("_one"), *[F.col("s." + c).alias(c) for c in names])
-    return frames.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
-
-
-def localize(frames: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | None = None, seeded: bool = True, signals: bool = True,
-             camera: DataFrame | None = None) -> DataFrame:
-    """Localizations of all frames of all movies; with ``camera`` maps the fits maximize the camera's
-    likelihood instead of least squares."""
-    src = seed_average(frames, cfg.seed_sigma_frames) if seeded and cfg.seed_sigma_frames > 0 else frames
-    peaks = cut(detect_peaks(src, cfg))
+CAMERA = ["offset", "variance", "gain"]
+
+
+def camera_tiles(camera: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(_ty, _tx, left, top, wide, tall, offset, variance, gain): the maps of ``camera(y, x, offset, variance, gain)`` as arrays of at most
+    ``size`` x ``size`` pixels. A tile with a pixel missing, repeated or without a value is left out."""
+    t = camera.groupBy(F.floor(F.col("y") / size).alias("_ty"), F.floor(F.col("x") / size).alias("_tx")).agg(
+        F.min("x").cast("long").alias("left"), F.min("y").cast("long").alias("top"), (F.max("x") - F.min("x") + 1).cast("long").alias("wide"), (F.max("y") - F.min("y") + 1).cast("long").alias("tall"),
+        F.count("*").alias("n"), F.countDistinct("y", "x").alias("places"), F.array_sort(F.collect_list(F.when(F.col("offset").isNotNull() & F.col("variance").isNotNull() & F.col("gain").isNotNull(), F.struct("y", "x", *CAMERA)))).alias("s"))
+    t = t.where("n = wide * tall AND places = n AND size(s) = n")
+    return t.select("_ty", "_tx", "left", "top", "wide", "tall", *[F.col(f"s.{c}").alias(c) for c in CAMERA])
+
+
+def window_camera(windows: DataFrame, camera: DataFrame, place: tuple[int, int] = (0, 0), size: int = BLOCK) -> DataFrame:
+    """``windows(window, x0, y0, x1, y1)`` with ``camera``: the parts of the sensor's tiles under the window, as pieces (x, y, wide, tall, offset, variance, gain) in the
+    frame's coordinates. The frame's pixel (0, 0) is the sensor's pixel ``place``. Null for a window that is not wholly on the mapped sensor."""
+    ox, oy = place
+    w = windows.select("window", *[F.col(c).cast("long").alias("_" + c) for c in ("x0", "y0", "x1", "y1")])
+    cover = w.withColumn("_tx", F.explode(F.sequence(F.floor((F.col("_x0") + ox) / size), F.floor((F.col("_x1") + ox) / size)))) \
+        .withColumn("_ty", F.explode(F.sequence(F.floor((F.col("_y0") + oy) / size), F.floor((F.col("_y1") + oy) / size))))
+    j = cover.join(camera_tiles(camera, size), ["_ty", "_tx"]).withColumns({
+        "px": F.greatest(F.col("_x0") + ox, F.col("left")), "py": F.greatest(F.col("_y0") + oy, F.col("top")),
+        "qx": F.least(F.col("_x1") + ox, F.col("left") + F.col("wide") - 1), "qy": F.least(F.col("_y1") + oy, F.col("top") + F.col("tall") - 1)}).where("px <= qx AND py <= qy")
+    wide = F.col("qx") - F.col("px") + 1
+    cut_out = lambda c: F.flatten(F.transform(F.sequence(F.col("py"), F.col("qy")), lambda y: F.slice(F.col(c), ((y - F.col("top")) * F.col("wide") + F.col("px") - F.col("left") + 1).cast("int"), wide.cast("int"))))
+    piece = F.struct((F.col("px") - ox).alias("x"), (F.col("py") - oy).alias("y"), wide.alias("wide"), (F.col("qy") - F.col("py") + 1).alias("tall"), *[cut_out(c).alias(c) for c in CAMERA])
+    area = (F.col("_x1") - F.col("_x0") + 1) * (F.col("_y1") - F.col("_y0") + 1)
+    parts = j.groupBy("window").agg(F.array_sort(F.collect_list(piece)).alias("camera"), F.sum(wide * (F.col("qy") - F.col("py") + 1)).alias("_n"), F.first(area).alias("_area"))
+    return windows.join(parts.where("_n = _area").select("window", "camera"), "window", "left")
+
+
+def _assembled(pieces, corner: tuple[int, int], shape: tuple[int, int]):
+    """The maps (offset, variance, gain) of one window from its pieces."""
+    maps = np.empty((3, *shape))
+    for p in pieces:
+        y, x = int(p["y"]) - corner[1], int(p["x"]) - corner[0]
+        for k, c in enumerate(CAMERA):
+            maps[k, y : y + int(p["tall"]), x : x + int(p["wide"])] = np.asarray(p[c], float).reshape(int(p["tall"]), int(p["wide"]))
+    return tuple(m.ravel() for m in maps)
+
+
+def localize(frames: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | K.FieldCurve | None = None, seeded: bool = True, signals: bool = True,
+             camera: DataFrame | None = None, place: tuple[int, int] = (0, 0),
+             peaks: DataFrame | None = None) -> DataFrame:
+    """Localizations of all frames of all movies; a ``FieldCurve`` judges separations by place; with ``camera`` maps the fits maximize the camera's likelihood, and where the sensor, on which frames begin
+    at ``place``, is not mapped they are least squares as without."""
+    if peaks is None:
+        src = seed_average(frames, cfg.seed_sigma_frames) if seeded and cfg.seed_sigma_frames > 0 else frames
+        peaks = cut(detect_peaks(src, cfg))
     edges = cut(peak_edges(peaks, cfg, curve))
     windows = cut(fit_windows(peaks, edges, cfg))
-    lit = with_camera(frames, camera) if camera is not None else frames
-    lobes = cut(fit_lobes(window_crops(windows, lit, camera is not None), cfg))
+    lit = windows if camera is None else cut(window_camera(windows, camera, place))
+    lobes = cut(fit_lobes(window_crops(lit, frames), cfg))
+    if camera is None and cfg.split_max_tries > 0:
+        lobes = split_wide_lobes(lobes, peaks, windows, frames, cfg, curve)
     rows = cut(to_localizations(pair_lobes(lobes, peaks, windows, cfg, curve)))
     rows = cut(C.reused_lobes(rows, F.col("noise"), cfg))
     rows = rows.join(C.ring_shadows(rows, cfg).select("row_id"), "row_id", "left_anti")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from moteflow.functions.axial import axial_difference
-from moteflow.operators import cleaning as C, linking as L
+from moteflow.functions.pairs import pair_angle
+from moteflow.operators import cleaning as C, imaging as I, linking as L
 from moteflow.operators.tracks import TRACK
 from moteflow.plans.spatial import near_join, nearest_k
 from moteflow.session import cut
@@ -88,8 +89,10 @@ def not_removed_before(added: DataFrame, gone: DataFrame) -> DataFrame:
 
 def accept_recovered(fits: DataFrame, existing: DataFrame, noise: Column, cfg: Settings = DEFAULTS, near_px: float = 4.0) -> DataFrame:
     """Refitted rows that are bright enough, turned little, cheap as a pair, inside the image and not on an
-    existing bead. Expects predicted_angle, reference, pairCost, width, height."""
-    floor = F.greatest(noise * cfg.recover_min_snr, F.col("reference") * cfg.recover_amplitude_fraction)
+    existing bead. A bead that shares a lobe must reach the floor of shared lobes. Expects predicted_angle, reference, pairCost, width, height, sharedLobe;
+    a null pairCost breaks a hard limit and is refused."""
+    floor = F.greatest(noise * cfg.recover_min_snr, F.col("reference") * cfg.recover_amplitude_fraction,
+                       F.when(F.col("sharedLobe") == 1, noise * cfg.shared_min_snr))
     ok = (F.least("amplitude1", "amplitude2") >= floor) & (F.abs(axial_difference(F.col("angleDegrees"), F.col("predicted_angle"))) <= cfg.recover_max_turn_deg) \
         & (F.col("pairCost") <= cfg.pair_gate_cost)
     for c, lim in (("x1", "width"), ("x2", "width"), ("y1", "height"), ("y2", "height")):
@@ -99,6 +102,71 @@ def accept_recovered(fits: DataFrame, existing: DataFrame, noise: Column, cfg: S
     return near_join(fits.where(ok), e, near_px, ["movie", "frame_number"], ("xMean", "yMean"), ("ex", "ey"), d2 < near_px ** 2, "left_anti")
 
 
+def refit_windows(requests: DataFrame, existing: DataFrame, peaks: DataFrame, cfg: Settings = DEFAULTS, reach: float = 3.0, cell: float = 32.0) -> DataFrame:
+    """The window of each request(movie, frame_number, track_number, x1, y1, x2, y2, reference): its box around the predicted lobes and its seeds, which are the two
+    predictions, then the lobes of existing rows and then nuisance peaks inside the box. A prediction within ``reach`` of an existing lobe is that lobe: the lobe is
+    no seed and the prediction is ``shared``. Requests with both lobes shared, with a box too small to fit or with too many seeds give no window.
+    ``peaks`` has movie, frame, x, y, value, strong, height, width (zero-based); every frame with peaks has a size."""
+    pad, near2 = cfg.fit_padding, reach * reach
+    size = peaks.groupBy("movie", F.col("frame").alias("frame_number")).agg(F.first("height").alias("height"), F.first("width").alias("width"), F.max("strong").alias("strong"), F.max("noise").alias("noise"))
+    win = requests.join(size, ["movie", "frame_number"]).withColumns({
+        "wx0": F.greatest(F.floor(F.least("x1", "x2") - 1 - pad), F.lit(0)), "wy0": F.greatest(F.floor(F.least("y1", "y2") - 1 - pad), F.lit(0)),
+        "wx1": F.least(F.ceil(F.greatest("x1", "x2") - 1 + pad), F.col("width") - 1), "wy1": F.least(F.ceil(F.greatest("y1", "y2") - 1 + pad), F.col("height") - 1)})
+    win = win.where("wx1 - wx0 >= 4 AND wy1 - wy0 >= 4")
+    lobe = F.explode(F.array(*[F.struct((F.col(f"x{i}") - 1).alias("x"), (F.col(f"y{i}") - 1).alias("y")) for i in (1, 2)]))
+    known = existing.select("movie", "frame_number", lobe.alias("l"), F.lit(0).alias("kind")).select("movie", "frame_number", "kind", "l.x", "l.y")
+    bright = peaks.where(F.col("value") >= F.col("strong") * cfg.weak_fraction * 1.5).select("movie", F.col("frame").alias("frame_number"), F.lit(1).alias("kind"), "x", "y")
+    spots = known.unionByName(bright).withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
+    on = ["movie", "frame_number"]
+    cover = win.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("wx0") / cell), F.floor(F.col("wx1") / cell)))) \
+        .withColumn("_cy", F.explode(F.sequence(F.floor(F.col("wy0") / cell), F.floor(F.col("wy1") / cell))))
+    key = [*on, "track_number"]
+    inside = cover.select(*key, "_cx", "_cy", "wx0", "wy0", "wx1", "wy1").join(spots, [*on, "_cx", "_cy"]) \
+        .where(F.col("x").between(F.col("wx0"), F.col("wx1")) & F.col("y").between(F.col("wy0"), F.col("wy1")))
+    # at most the spots of one window
+    near = inside.groupBy(*key).agg(F.array_sort(F.collect_set(F.when(F.col("kind") == 0, F.struct("x", "y")))).alias("lobes"),
+                                    F.array_sort(F.collect_set(F.when(F.col("kind") == 1, F.struct("x", "y")))).alias("peaks"))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    win = win.join(near, key, "left").withColumns({"lobes": F.coalesce("lobes", none), "peaks": F.coalesce("peaks", none)})
+    d2 = lambda s, x, y: (s["x"] - x) * (s["x"] - x) + (s["y"] - y) * (s["y"] - y)
+    own = [(F.col(f"x{i}") - 1, F.col(f"y{i}") - 1) for i in (1, 2)]
+    win = win.withColumns({"shared1": F.exists("lobes", lambda s: d2(s, *own[0]) <= near2), "shared2": F.exists("lobes", lambda s: d2(s, *own[1]) <= near2)})
+    win = win.withColumn("lobes", F.filter("lobes", lambda s: (d2(s, *own[0]) > near2) & (d2(s, *own[1]) > near2)))
+    apart = lambda s: (d2(s, *own[0]) > near2) & (d2(s, *own[1]) > near2) & ~F.exists("lobes", lambda o: d2(s, o["x"], o["y"]) <= near2)
+    seeds = F.concat(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in own]), F.col("lobes"), F.filter("peaks", apart))
+    win = win.withColumn("seeds", seeds).where((F.size("seeds") <= 2 * cfg.max_group_gaussians) & ~(F.col("shared1") & F.col("shared2")))
+    bounds = F.concat(F.array_repeat(F.lit(float(cfg.recover_center_bound)), 2), F.array_repeat(F.lit(float(cfg.center_bound)), F.size("seeds") - 2))
+    return win.withColumn("bounds", bounds).drop("lobes", "peaks", "strong")
+
+
+def refit_rows(windows: DataFrame, existing: DataFrame, frames: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | I.K.FieldCurve | None = None) -> DataFrame:
+    """Accepted localizations of the windows of ``refit_windows``, with the track they were predicted from. All windows of a frame travel with one read of it; a window's
+    fit is bound to its predictions, and what passes is decided by columns."""
+    name = F.concat_ws("/", "movie", "frame_number", "track_number")
+    asked = windows.select("movie", F.col("frame_number").alias("frame"), name.alias("window"), "track_number", "reference", "noise", "shared1", "shared2", "height", "width",
+                           pair_angle(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("predicted_angle"),
+                           *[F.col("w" + c).alias(c) for c in ("x0", "y0", "x1", "y1")], "seeds", "bounds")
+    asked = cut(asked)
+    lobes = cut(I.fit_lobes(I.window_crops(asked.select("movie", "frame", "window", "x0", "y0", "x1", "y1", "seeds", "bounds"), frames), cfg).where("lobe < 2"))
+    on = ["movie", "frame", "window"]
+    keep = ["lobe", "x", "y", "amp", "sigma", "rms", "background", "cov_rows", "at_bound"]
+    side = lambda k, p: lobes.where(F.col("lobe") == k).select(*on, *[F.col(c).alias(f"{p}_{c}") for c in keep])
+    both = side(0, "p").join(side(1, "q"), on).join(asked.drop("seeds", "bounds", "x0", "y0", "x1", "y1"), on).where("NOT p_at_bound AND NOT q_at_bound")
+    # the own lobe comes first; the amplitude of a hidden one is unobservable and taken from it
+    hidden = F.col("shared1")
+    pick = lambda first, c: F.when(hidden == first, F.col("q_" + c)).otherwise(F.col("p_" + c))
+    shared = F.col("shared1") | F.col("shared2")
+    ab = both.select(*on, "track_number", "reference", "noise", "height", "width", "predicted_angle", shared.cast("int").alias("sharedLobe"),
+                     *[pick(F.lit(True), c).alias("a_" + c) for c in keep], *[pick(F.lit(False), c).alias("b_" + c) for c in keep])
+    ab = ab.withColumns({"b_amp": F.when(F.col("sharedLobe") == 1, F.col("a_amp")).otherwise(F.col("b_amp")), "a_noise": F.col("noise"), "jointEmitterCount": F.lit(1),
+                         "a_id": F.concat_ws("/", "window", "a_lobe"), "b_id": F.concat_ws("/", "window", "b_lobe")})
+    ab = I.scored_pairs(ab, cfg, curve, F.col("a_amp")).where("pairCost IS NOT NULL")
+    rows = I.to_localizations(ab, recovered=1)
+    more = ab.select(F.xxhash64("movie", "frame", "a_id", "b_id").alias("row_id"), "movie", "track_number", "reference", "predicted_angle", "height", "width")
+    fits = rows.join(more, ["movie", "row_id"])
+    return accept_recovered(fits, existing, F.col("noise"), cfg).drop("reference", "predicted_angle", "height", "width")
+
+
 def suspicious_rows(rows: DataFrame, cfg: Settings, z: str) -> DataFrame:
     """(row_id) flagged by any of the four tests: jumps, minority depths, sandwiched and ghost tracks."""
     by_row = C.jump_outliers(rows, cfg, z).select("row_id").unionByName(C.alternating_rows(rows, cfg, z).select("row_id"))
@@ -106,6 +174,24 @@ def suspicious_rows(rows: DataFrame, cfg: Settings, z: str) -> DataFrame:
     return cut(by_row.unionByName(rows.join(tracks, TRACK, "left_semi").select("row_id")).distinct())
 
 
+def pixel_refit(frames: DataFrame, peaks: DataFrame, cfg: Settings = DEFAULTS, curve: DataFrame | I.K.FieldCurve | None = None,
+                with_depth: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The refit of ``recover`` on the pixels of ``frames``, whose ``peaks`` are those of ``detect_peaks``; ``with_depth`` fills the depth columns of refitted rows.
+    Only new requests are fitted: one whose prediction, brightness and seeds have all been tried in an earlier round would end the same way."""
+    cause, tried = ["movie", "frame_number", *LOBES, "reference", "seeds", "shared1", "shared2"], []
+
+    def run(requests: DataFrame, now: DataFrame) -> DataFrame:
+        fresh = refit_windows(requests, now, peaks, cfg)
+        for before in tried:
+            fresh = fresh.join(before, cause, "left_anti")
+        fresh = cut(fresh)
+        tried.append(fresh.select(cause))
+        added = refit_rows(fresh, now, frames, cfg, curve)
+        added = added if with_depth is None else with_depth(added)
+        return added.select([c for c in added.columns if c in now.columns])
+    return run
+
+
 def recover(rows: DataFrame, refit: Callable[[DataFrame, DataFrame], DataFrame], cfg: Settings = DEFAULTS,
             z: str = "z", depth: bool = True) -> tuple[DataFrame, DataFrame, list[dict]]:
     """Clean, predict, refit and track again until a round neither removes nor adds, at most

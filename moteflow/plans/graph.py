@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from moteflow.session import cut
+from moteflow.session import cut, discard
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,10 +29,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .select("node", F.least("node", "m").alias("to"))
         hook = cut(_jump(_jump(hook)))
         rounds.append(hook)
-        e = cut(e.join(hook.withColumnsRenamed({"node": "u", "to": "u2"}), "u")
-                .join(hook.withColumnsRenamed({"node": "v", "to": "v2"}), "v")
-                .where("u2 <> v2")
-                .select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct())
+        before, e = e, cut(e.join(hook.withColumnsRenamed({"node": "u", "to": "u2"}), "u")
+                           .join(hook.withColumnsRenamed({"node": "v", "to": "v2"}), "v")
+                           .where("u2 <> v2")
+                           .select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct())
+        discard(before)
     if not rounds:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = rounds[-1].withColumnRenamed("to", "component")
@@ -60,6 +61,7 @@ def chain_heads(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataF
         new = cut(_jump(_jump(ptr)))
         moved = new.join(ptr.withColumnRenamed("to", "old"), "node").where("to <> old")
         done = moved.isEmpty()
+        discard(ptr)
         ptr = new
         if done:
             return ptr.withColumnRenamed("to", "head")
@@ -84,8 +86,9 @@ def greedy_keep(ids: DataFrame, better: DataFrame) -> DataFrame:
         open_ = cut(open_.join(decided, "id", "left_anti"))
         if open_.isEmpty():
             break
-        edges = cut(edges.join(decided.withColumnRenamed("id", "win"), "win", "left_anti")
-                    .join(decided.withColumnRenamed("id", "lose"), "lose", "left_anti"))
+        old, edges = edges, cut(edges.join(decided.withColumnRenamed("id", "win"), "win", "left_anti")
+                                .join(decided.withColumnRenamed("id", "lose"), "lose", "left_anti"))
+        discard(old, decided)
     out = kept_parts[0]
     for k in kept_parts[1:]:
         out = out.unionByName(k)

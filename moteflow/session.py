@@ -48,4 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/moteflow/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these tables. Only for tables that nothing unfinished reads any more: all that was made of them has been written itself."""
+    for df in tables:
+        path = df.__dict__.pop("_cut_to", None)
+        if path is not None:
+            spark = df.sparkSession
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -1,7 +1,9 @@
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from moteflow.operators import imaging as I
+from moteflow.operators import calibration as K, imaging as I
 from moteflow.plans import image_np as N
 from moteflow.schema import FRAMES
 from moteflow.settings import DEFAULTS
@@ -51,3 +53,77 @@ def test_beads_are_found_where_they_are(spark):
     cam = spark.range(0, 96 * 96).select(F.expr("cast(id div 96 as int)").alias("y"), (F.col("id") % 96).cast("int").alias("x"), F.lit(100.0).alias("offset"), F.lit(1.5).alias("variance"), F.lit(0.8).alias("gain"))
     lik = I.localize(fr.where("movie = 'edge'"), DEFAULTS, curve, signals=False, camera=cam).toPandas()
     assert len(lik) == 1 and abs(lik.iloc[0].yMean - 51.2) < 0.25
+
+
+def test_camera_maps_are_placed_and_fall_back(spark):
+    """The sensor is larger than the frame, which begins at (7, 11); the maps vary from pixel to pixel."""
+    rng = np.random.default_rng(8)
+    tall, wide = 130, 120
+    maps = {"offset": 100 + rng.normal(0, 1.5, (tall, wide)), "variance": 1.4 * np.exp(rng.normal(0, .4, (tall, wide))), "gain": 0.8 * np.exp(rng.normal(0, .05, (tall, wide)))}
+    cam = spark.createDataFrame([(y, x, *(float(maps[k][y, x]) for k in maps)) for y in range(tall) for x in range(wide)], "y int, x int, offset double, variance double, gain double")
+    win = spark.createDataFrame([("in", 3, 4, 60, 70), ("one", 5, 5, 5, 5), ("out", 100, 4, 115, 20)], "window string, x0 int, y0 int, x1 int, y1 int")
+    got = {r.window: r.camera for r in I.window_camera(win, cam, (7, 11)).collect()}
+    assert got["out"] is None and len(got["in"]) == 4
+    for (o, v, g), (x0, y0, x1, y1) in ((I._assembled(got["in"], (3, 4), (67, 58)), (3, 4, 60, 70)), (I._assembled(got["one"], (5, 5), (1, 1)), (5, 5, 5, 5))):
+        for m, k in ((o, "offset"), (v, "variance"), (g, "gain")):
+            assert np.array_equal(m, maps[k][y0 + 11:y1 + 12, x0 + 7:x1 + 8].ravel())
+    gap = {r.window: r.camera for r in I.window_camera(win, cam.where("NOT (y = 40 AND x = 30)"), (7, 11)).collect()}
+    assert gap["in"] is None and gap["one"] is None  # their tile lacks a pixel
+    y, x = np.indices((96, 96))
+    photons = 3 + sum(30 * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / (2 * 2.1 ** 2)) for cx, cy in ((39.7, 44.1), (55.9, 50.3)))
+    part = {k: m[11:107, 7:103] for k, m in maps.items()}
+    img = part["offset"] + part["gain"] * rng.poisson(photons) + rng.normal(0, 1, (96, 96)) * np.sqrt(part["variance"])
+    fr = spark.createDataFrame([("m", 1, 96, 96, [float(v) for v in img.ravel()])], FRAMES)
+    lik, = I.localize(fr, DEFAULTS, signals=False, camera=cam, place=(7, 11)).collect()
+    assert np.hypot(lik.xMean - 48.8, lik.yMean - 48.2) < 0.3 and 0 < lik.anglePrecisionDeg < 3
+    off, = I.localize(fr, DEFAULTS, signals=False, camera=cam, place=(100, 100)).collect()
+    plain, = I.localize(fr, DEFAULTS, signals=False).collect()
+    assert (off.xMean, off.yMean) == (plain.xMean, plain.yMean) != (lik.xMean, lik.yMean)
+
+
+def test_merged_lobes_of_two_beads_are_split(spark):
+    """The inner lobes of two beads lie 5 px apart and are fitted as one wide lobe; only the split gives both beads."""
+    curve = spark.range(0, 361).select(F.col("id").cast("int").alias("i"), (F.col("id") / 6.0 - 30).alias("z"), (F.col("id") / 2.0).alias("angle"), (F.lit(16.5) + F.col("id") / 90.0).alias("sep"))
+    a, b = 16.5, 16.5 + 60 / 45
+    inner = np.array([70 + a / 2, 85.0])
+    second = inner + np.array([np.cos(np.radians(60)), np.sin(np.radians(60))]) * b / 2
+    beads = [(70.0, 80.0, 0.0, 150.0), (*second, 60.0, 150.0)]
+    fr = spark.createDataFrame([("m", 1, 160, 160, [float(v) for v in render(beads, n=160, seed=0).ravel()])], FRAMES)
+    near = lambda rows, cx, cy: any(np.hypot(r.xMean - 1 - cx, r.yMean - 1 - cy) < 0.6 for r in rows)
+    rows = I.localize(fr, DEFAULTS, curve, signals=False).collect()
+    assert len(rows) == 2 and all(near(rows, cx, cy) for cx, cy, *_ in beads)
+    merged = I.localize(fr, replace(DEFAULTS, split_sigma_ratio=100.0), curve, signals=False).collect()
+    assert not all(near(merged, cx, cy) for cx, cy, *_ in beads)
+    assert I.localize(fr, replace(DEFAULTS, split_max_tries=0), curve, signals=False).count() == len(merged)
+
+
+def test_long_axis_of_two_points():
+    y, x = (g.ravel() for g in np.indices((40, 40), dtype=float))
+    light = sum(100 * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / (2 * 2.2 ** 2)) for cx, cy in ((18.0, 18.5), (21.0, 22.5)))
+    halves = N.long_axis_halves(light, x, y, np.array([150, 19.5, 20.5, 3.4]))
+    assert np.allclose(sorted(map(tuple, halves)), [(18.0, 18.5), (21.0, 22.5)], atol=0.35)
+    assert N.long_axis_halves(100 * np.exp(-((x - 20) ** 2 + (y - 20) ** 2) / 10), x, y, np.array([100, 20, 20, 2.2])) is None
+    assert N.long_axis_halves(-light, x, y, np.array([150, 19.5, 20.5, 3.4])) is None
+
+
+def test_field_map_shifts_the_expected_separation(spark):
+    """A saddle of 3 px: lobes stand 3 px closer in the corner (u = -1, v = 1), where a compact bead is paired only with the map."""
+    n = 256
+    curve = spark.range(0, 361).select(F.col("id").cast("int").alias("i"), (F.col("id") / 6.0 - 30).alias("z"), (F.col("id") / 2.0).alias("angle"), (F.lit(16.5) + F.col("id") / 90.0).alias("sep"))
+    maps = spark.createDataFrame([("m", [0.0, 0.0, 0.0, 0.0, 3.0, 0.0])], "movie string, coef array<double>")
+    mapped = K.FieldCurve(curve, maps, (0.0, 0.0), float(n))
+    at = spark.createDataFrame([("m", 90.0, 18.5 - 3, 1.0, float(n)), ("m", 90.0, 18.5, (n + 1) / 2, (n + 1) / 2), ("other", 90.0, 18.5, 1.0, float(n))], "movie string, a double, s double, x double, y double")
+    for c, want in ((mapped, [0.0, 0.0, 0.0]), (curve, [-3.0, 0.0, 0.0])):
+        got = K.separation_residual(at, c, F.col("a"), F.col("s"), at=(F.col("x"), F.col("y"))).collect()
+        assert np.allclose(sorted(r.residual for r in got), sorted(want), atol=0.05)
+    y, x = np.mgrid[:n, :n]
+    img = 104 + np.random.default_rng(2).normal(0, 2, (n, n))
+    for s in (-.5, .5):
+        img += 150 * np.exp(-((x - 14.3) ** 2 + (y - (n - 21.8) - s * (18.5 - 2.2)) ** 2) / (2 * 2.2 ** 2))
+    fr = spark.createDataFrame([("m", 1, n, n, [float(v) for v in img.ravel()])], FRAMES)
+    cfg = replace(DEFAULTS, sep_gate_px=1.5, prune_slack_px=0.0, split_max_tries=0)
+    assert I.localize(fr, cfg, curve, signals=False).count() == 0
+    row, = I.localize(fr, cfg, mapped, signals=False).collect()
+    assert abs(row.xMean - 15.3) < 0.2 and abs(row.yMean - (n - 20.8)) < 0.2 and abs(row.separationResidual) < 0.4
+    deep = K.depths(spark.createDataFrame([row]).drop("zMicrons", "zStatus"), mapped).first()
+    assert deep.zStatus == 0 and abs(deep.zMicrons) < 1 and -3 < deep.fieldSeparationOffset < -1.5
