@@ -162,10 +162,10 @@ _SPLIT = f"""r0 AS (SELECT loc.*, CASE WHEN count(*) OVER (PARTITION BY movie, t
 _FINAL = f"WITH {V.LOC}, {LOWQ.format(frac='0.25', score='0.6')}, {_SPLIT}"
 
 
-@register("final_split", f"{_FINAL} SELECT movie, row_id, CAST(r AS INTEGER) AS reject_reason FROM fs")
+@register("final_split", f"{_FINAL} SELECT movie, row_id, CAST(coalesce(r, 0) AS INTEGER) AS reject_reason FROM fs")
 def final_split(spark, sf):
-    """Every localization with the reason it is rejected for (NULL: kept)."""
-    return C.final_split(V.loc(spark, sf)).select("movie", "row_id", "reject_reason")
+    """Every localization with the reason it is rejected for (0: kept)."""
+    return C.final_split(V.loc(spark, sf)).select("movie", "row_id", F.coalesce("reject_reason", F.lit(0)).alias("reject_reason"))
 
 
 @register("kept_tracks", f"""{_FINAL}, fi AS (SELECT movie, track_number, min(frame_number) AS f, arg_min(row_id, frame_number) AS i FROM fs WHERE r IS NULL GROUP BY ALL),
@@ -215,15 +215,15 @@ def _peaks(spark, sf):
 @register("refit_windows", f"""WITH {V.LOC}, {V.LOBES}, {_PREDICTED},
  q AS (SELECT movie, track_number, frame_number, x1 - 1 AS px, y1 - 1 AS py, x2 - 1 AS qx, y2 - 1 AS qy, greatest(floor(least(x1, x2) - 10), 0) AS wx0, greatest(floor(least(y1, y2) - 10), 0) AS wy0,
    least(ceil(greatest(x1, x2) + 8), 261) AS wx1, least(ceil(greatest(y1, y2) + 8), 261) AS wy1 FROM allp WHERE EXISTS (SELECT 1 FROM loc WHERE loc.movie = allp.movie AND loc.frame_number = allp.frame_number)),
- w AS (SELECT * FROM q WHERE wx1 - wx0 >= 4 AND wy1 - wy0 >= 4),
+ rw AS (SELECT * FROM q WHERE wx1 - wx0 >= 4 AND wy1 - wy0 >= 4),
  sp AS (SELECT movie, frame_number, 0 AS kind, x - 1 AS x, y - 1 AS y FROM lobes UNION ALL SELECT movie, frame_number, 1, x + (lobe_id % 11)/2.3e0 - 3, y + (lobe_id % 7)/1.7e0 - 3 FROM lobes WHERE amp >= 200*0.55e0*1.5),
- i AS (SELECT DISTINCT w.*, kind, s.x, s.y FROM w JOIN sp s ON w.movie = s.movie AND w.frame_number = s.frame_number AND s.x BETWEEN wx0 AND wx1 AND s.y BETWEEN wy0 AND wy1),
+ i AS (SELECT DISTINCT rw.*, kind, s.x, s.y FROM rw JOIN sp s ON rw.movie = s.movie AND rw.frame_number = s.frame_number AND s.x BETWEEN wx0 AND wx1 AND s.y BETWEEN wy0 AND wy1),
  n AS (SELECT *, (px-x)*(px-x) + (py-y)*(py-y) <= 9 AS np, (qx-x)*(qx-x) + (qy-y)*(qy-y) <= 9 AS nq FROM i),
  l AS (SELECT movie, track_number, frame_number, bool_or(np) AS shared1, bool_or(nq) AS shared2, count(*) FILTER (NOT np AND NOT nq) AS lobes FROM n WHERE kind = 0 GROUP BY ALL),
  k AS (SELECT movie, track_number, frame_number, count(*) AS peaks FROM n WHERE kind = 1 AND NOT np AND NOT nq AND NOT EXISTS (SELECT 1 FROM n o WHERE o.kind = 0 AND NOT o.np AND NOT o.nq AND o.movie = n.movie
    AND o.track_number = n.track_number AND o.frame_number = n.frame_number AND (o.x-n.x)*(o.x-n.x) + (o.y-n.y)*(o.y-n.y) <= 9) GROUP BY ALL)
  SELECT movie, track_number, frame_number, CAST(wx0 AS BIGINT) AS wx0, CAST(wy0 AS BIGINT) AS wy0, CAST(wx1 AS BIGINT) AS wx1, CAST(wy1 AS BIGINT) AS wy1, coalesce(shared1, false) AS shared1, coalesce(shared2, false) AS shared2,
-   CAST(2 + coalesce(lobes, 0) + coalesce(peaks, 0) AS INTEGER) AS seeds FROM w LEFT JOIN l USING (movie, track_number, frame_number) LEFT JOIN k USING (movie, track_number, frame_number)
+   CAST(2 + coalesce(lobes, 0) + coalesce(peaks, 0) AS INTEGER) AS seeds FROM rw LEFT JOIN l USING (movie, track_number, frame_number) LEFT JOIN k USING (movie, track_number, frame_number)
  WHERE NOT (coalesce(shared1, false) AND coalesce(shared2, false)) AND 2 + coalesce(lobes, 0) + coalesce(peaks, 0) <= 48""")
 def refit_windows(spark, sf):
     """Where the frames a track is missing are fitted again, and with how many seeds."""

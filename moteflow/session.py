@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,17 @@ def local_session(cpus: int | str = "*", app: str = "moteflow") -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> str:
+    """Give this package to the executors of a running session whose nodes do not have it installed: a zip of its sources is added to the session. Returns the zip's path."""
+    package = pathlib.Path(__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="moteflow-")) / "moteflow.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.addArtifacts(str(archive), pyfile=True)
+    return str(archive)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)

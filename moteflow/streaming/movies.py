@@ -49,7 +49,7 @@ class MovieLinker(StatefulProcessor):
         k.miss, k.angle, k.first = np.array(miss, int), np.array(angle, float), np.array(first, np.int64)
         return k, frame, ended
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         done = self.tracks.get()[0] if self.tracks.exists() else None
         for pdf in rows:
             late = pdf["frame_number"] <= done if done is not None else np.zeros(len(pdf), bool)
@@ -57,15 +57,15 @@ class MovieLinker(StatefulProcessor):
                 yield self._result(key[0], [(int(f), int(i), None, True) for f, i in zip(pdf["frame_number"][late], pdf["row_id"][late], strict=True)])
             for frame, g in pdf[~late].groupby("frame_number"):
                 new = [g["row_id"].astype(int).tolist(), g["xMean"].astype(float).tolist(), g["yMean"].astype(float).tolist(), g["angleDegrees"].fillna(0.0).astype(float).tolist()]
-                at = int(g["_at"].max())
+                at = int(g["at_ms"].max())
                 if self.open.containsKey((int(frame),)):
                     before = self.open.getValue((int(frame),))
                     at, new = max(at, before[0]), [list(b) + a for b, a in zip(before[1:], new, strict=True)]
                 self.open.updateValue((int(frame),), (at, *new))
                 self.handle.registerTimer(at)
 
-    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expired.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
         ready = sorted((k[0], v) for k, v in self.open.iterator() if v[0] <= now)
         k, done, ended = self._load()
         out = []
@@ -81,12 +81,14 @@ class MovieLinker(StatefulProcessor):
             out += [(frame, int(i), int(t), False) for i, t in zip(ids, label, strict=True)]
             self.open.removeKey((frame,))
             done, ended = frame, max(ended, at)
-        if ready:
+        over = done is not None and max(now, timerValues.getCurrentWatermarkInMs()) >= ended + self.quiet and next(iter(self.open.keys()), None) is None
+        if over:
+            self.tracks.clear()
+        elif ready:
             self.tracks.update((done, ended, k.pos.ravel().tolist(), k.cov.ravel().tolist(), k.miss.tolist(), k.angle.tolist(), k.first.tolist()))
             self.handle.registerTimer(ended + self.quiet)
+        if ready:
             yield self._result(key[0], out)
-        elif done is not None and now >= ended + self.quiet and next(iter(self.open.keys()), None) is None:
-            self.tracks.clear()
 
     @staticmethod
     def _result(movie: str, rows: list[tuple]) -> pd.DataFrame:
@@ -101,6 +103,6 @@ def link_movies(rows: DataFrame, time: str, method: str = "kalman", cfg: Setting
     comes out as ``late`` with no track; rows behind the watermark that Spark drops before are counted in the query's progress (``numRowsDroppedByWatermark``).
     After ``quiet`` without a new frame, in event time, a movie is over: its state is removed, and later rows begin a new one. The session needs ``STATE_STORE``.
     """
-    ms = rows.sparkSession.sql(f"SELECT CAST(extract(EPOCH FROM TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {quiet}) * 1000 AS BIGINT)").first()[0]
-    named = rows.select("movie", "frame_number", "row_id", "xMean", "yMean", "angleDegrees", F.unix_millis(time).alias("_at"), time).withWatermark(time, lateness)
+    ms = rows.sparkSession.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {quiet})").first()[0]
+    named = rows.select("movie", "frame_number", "row_id", "xMean", "yMean", "angleDegrees", F.unix_millis(time).alias("at_ms"), time).withWatermark(time, lateness)
     return named.groupBy("movie").transformWithStateInPandas(MovieLinker(method, cfg, ms), OUT, "Append", "EventTime")

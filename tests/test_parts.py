@@ -31,7 +31,7 @@ def test_stale_parts_are_replaced_and_others_stay(spark, tmp_path):
     assert held(spark, store) == [("b/x y", 3), ("c", 4)] and P.stale_parts(stamps(spark, a="3"), store).count() == 0
     assert P.drop_unused(spark, store) == [] and held(spark, store) == [("b/x y", 3), ("c", 4)]
     P.replace_parts(table(spark, [("b/x y", 5), ("c", 6)]), stamps(spark, **{"b/x y": "2", "c": "2"}), store)
-    assert len(P.drop_unused(spark, store)) == 2 and held(spark, store) == [("b/x y", 5), ("c", 6)]
+    assert len(P.drop_unused(spark, store)) == 1 and held(spark, store) == [("b/x y", 5), ("c", 6)]
 
 
 def test_a_killed_writer_changes_nothing(spark, tmp_path):
