@@ -123,7 +123,8 @@ def test_field_map_shifts_the_expected_separation(spark):
     fr = spark.createDataFrame([("m", 1, n, n, [float(v) for v in img.ravel()])], FRAMES)
     cfg = replace(DEFAULTS, sep_gate_px=1.5, prune_slack_px=0.0, split_max_tries=0)
     assert I.localize(fr, cfg, curve, signals=False).count() == 0
-    row, = I.localize(fr, cfg, mapped, signals=False).collect()
+    found = I.localize(fr, cfg, mapped, signals=False)
+    row, = found.collect()
     assert abs(row.xMean - 15.3) < 0.2 and abs(row.yMean - (n - 20.8)) < 0.2 and abs(row.separationResidual) < 0.4
-    deep = K.depths(spark.createDataFrame([row]).drop("zMicrons", "zStatus"), mapped).first()
+    deep = K.depths(found.drop("zMicrons", "zStatus"), mapped).first()
     assert deep.zStatus == 0 and abs(deep.zMicrons) < 1 and -3 < deep.fieldSeparationOffset < -1.5

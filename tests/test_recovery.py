@@ -56,9 +56,9 @@ def test_what_has_been_tried_is_not_fitted_again(spark, monkeypatch):
 def test_windows_tell_shared_lobes_and_nuisance(spark):
     fr = frames(spark, {1: [(40.0, 48.0, 30.0, 180.0)]})
     own = lobes(40.0, 48.0, 0.0)
-    req = spark.createDataFrame([("m", 1, 1, own["x1"], own["y1"], own["x2"], own["y2"], 100.0), ("m", 1, 2, 49.0, 49.0, 65.0, 49.0, 100.0), ("m", 1, 3, 1.0, 1.0, 2.0, 1.0, 100.0)],
+    req = spark.createDataFrame([("m", 1, 1, own["x1"], own["y1"], own["x2"], own["y2"], 100.0), ("m", 1, 2, 49.0, 79.0, 65.0, 79.0, 100.0), ("m", 1, 3, 1.0, 1.0, 2.0, 1.0, 100.0)],
                                 "movie string, frame_number int, track_number int, x1 double, y1 double, x2 double, y2 double, reference double")
-    near = rows(spark, [{"f": 1, "t": 5, "x1": own["x1"] + 1, "y1": own["y1"], "x2": own["x1"] - 14, "y2": own["y1"] + 6}, {"f": 1, "t": 6, "x1": 49, "y1": 50, "x2": 65, "y2": 50}])
+    near = rows(spark, [{"f": 1, "t": 5, "x1": own["x1"] + 1, "y1": own["y1"], "x2": own["x1"] - 14, "y2": own["y1"] + 6}, {"f": 1, "t": 6, "x1": 49, "y1": 80, "x2": 65, "y2": 80}])
     peaks = spark.createDataFrame([("m", 1, N, N, 2.0, 20.0, x, y, v) for x, y, v in ((44.0, 52.0, 30.0), (45.0, 44.0, 10.0), (own["x2"] - 1, own["y2"] - 1, 90.0), (47.0, 49.5, 90.0))],
                                   "movie string, frame int, height int, width int, noise double, strong double, x double, y double, value double")
     got = {w.track_number: w for w in Y.refit_windows(req, near, peaks).collect()}
