@@ -2,7 +2,8 @@
 
 Spark has no spatial join, so a radius join would otherwise be a nested loop. Both sides are put on a
 grid whose cell is the radius; one side is copied to the neighbouring cells and the join is an ordinary
-hash / sort-merge join on (keys, cell) that adaptive execution can split when a cell is crowded.
+sort-merge join on (keys, cell) that adaptive execution can split when a cell is crowded. The copied side is
+never broadcast: Spark estimates it by the rows before they are copied, and it would pass through the driver.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def near_join(left: DataFrame, right: DataFrame, radius: float, on: list[str], l
         cond = (F.col(c) == F.col("_r_" + c)) & cond
     if extra is not None:
         cond = cond & extra
-    return a.join(b, cond, how).drop(*CELL, *["_r_" + c for c in on + CELL])
+    return a.join(b.hint("merge"), cond, how).drop(*CELL, *["_r_" + c for c in on + CELL])
 
 
 def close_pairs(df: DataFrame, radius: float, on: list[str], x: str, y: str, id_: str) -> DataFrame:
@@ -58,7 +59,7 @@ def close_pairs(df: DataFrame, radius: float, on: list[str], x: str, y: str, id_
         ((F.col("_o.i") == 0) & (F.col("_o.j") == 0)).alias("_same"))
     dx = F.col(f"a.{x}") - F.col(f"b.{x}")
     dy = F.col(f"a.{y}") - F.col(f"b.{y}")
-    out = packed.join(other, on + CELL).where(
+    out = packed.join(other.hint("merge"), on + CELL).where(
         (dx * dx + dy * dy <= F.lit(float(radius) ** 2))
         & (~F.col("_same") | (F.col(f"a.{id_}") < F.col(f"b.{id_}"))))
     first = F.col(f"a.{id_}") < F.col(f"b.{id_}")
