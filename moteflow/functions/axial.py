@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 
 def axial_difference(a: Column, b: Column) -> Column:
-    """a - b folded into [-90, 90)."""
-    return F.pmod(a - b + F.lit(90.0), F.lit(180.0)) - F.lit(90.0)
+    """a - b folded into [-90, 90). Folded in the same rounded steps as in SQL, so that a turn at a limit falls on the same side of it."""
+    return ((a - b + F.lit(90.0)) % F.lit(180.0) + F.lit(180.0)) % F.lit(180.0) - F.lit(90.0)
 
 
 def fold(a: Column) -> Column:
