@@ -133,3 +133,38 @@ def test_retrack_checks_input(spark):
         K.retrack(rows(spark, [{"f": 1, "x": 1}]), "unknown")
     df = rows(spark, [{"f": 1, "x": 1, "y": 1}, {"f": 2, "x": 1, "y": 1}])
     assert all(r.short for r in K.retrack(df, "nearest").collect())
+
+
+def test_matching_of_a_crowded_frame_takes_no_branching(monkeypatch):
+    import itertools
+    from moteflow.plans import kernels as N
+    rng = np.random.default_rng(4)
+
+    def best(edges):
+        return max(sum(e[2] for e in c) for r in range(len(edges) + 1) for c in itertools.combinations(edges, r) if len({n for e in c for n in e[:2]}) == 2 * r)
+
+    for width in (18, 2):  # by the sweep, and by branching
+        monkeypatch.setattr(N, "FRONTIER", width)
+        for _ in range(15):
+            a, b = np.triu_indices(7, 1)
+            m = rng.permutation(len(a))[:12]
+            a, b, w = a[m], b[m], rng.uniform(1, 26, 12)
+            x = N.match_edges(a, b, w)
+            assert len(set(a[x]) | set(b[x])) == 2 * x.sum() and np.isclose(w[x].sum(), best(list(zip(a.tolist(), b.tolist(), w.tolist()))))
+    monkeypatch.setattr(N, "FRONTIER", 18)
+    monkeypatch.setattr(N, "_branched", None)
+    k = np.arange(0, 300)  # a band of triangles: branching would not end
+    a, b = np.r_[k, k], np.r_[k + 1, k + 2]
+    w = rng.uniform(10, 11, len(a))
+    x = N.match_edges(a, b, w)
+    step = {(p, q): v for p, q, v in zip(a.tolist(), b.tolist(), w.tolist())}
+    best_of = {}
+
+    def upto(i, used):
+        if i > 301:
+            return 0.0
+        if (i, used) not in best_of:
+            free = [o for o in (i + 1, i + 2) if (i, o) in step and not used >> (o - i) & 1]
+            best_of[i, used] = max([upto(i + 1, used >> 1)] + ([] if used & 1 else [step[i, o] + upto(i + 1, (used | 1 << (o - i)) >> 1) for o in free]))
+        return best_of[i, used]
+    assert np.isclose(w[x].sum(), upto(0, 0))
