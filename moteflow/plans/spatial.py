@@ -1,7 +1,7 @@
 """Distance joins as equi-joins on grid cells.
 
 Spark has no spatial join, so a radius join would otherwise be a nested loop. Both sides are put on a
-grid whose cell is the radius; one side is copied to the neighbouring cells and the join is an ordinary
+grid of cells of the radius or twice that; one side is copied to the cells it reaches and the join is an ordinary
 sort-merge join on (keys, cell) that adaptive execution can split when a cell is crowded. The copied side is
 never broadcast: Spark estimates it by the rows before they are copied, and it would pass through the driver.
 """
@@ -19,11 +19,11 @@ def in_cells(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return df.withColumns({"_cx": F.floor(F.col(x) / F.lit(size)), "_cy": F.floor(F.col(y) / F.lit(size))})
 
 
-def in_neighbour_cells(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
-    """Nine copies of each row, one per cell of its 3x3 neighbourhood."""
-    out = in_cells(df, x, y, size)
-    out = out.withColumn("_cx", F.explode(F.sequence(F.col("_cx") - 1, F.col("_cx") + 1)))
-    return out.withColumn("_cy", F.explode(F.sequence(F.col("_cy") - 1, F.col("_cy") + 1)))
+def in_reached_cells(df: DataFrame, x: str, y: str, size: float, radius: float) -> DataFrame:
+    """A copy of each row for every cell that its square of +-``radius`` (a hair more, for rounding) touches."""
+    r = F.lit(radius * (1 + 1e-9))
+    cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - r) / F.lit(size)), F.floor((F.col(c) + r) / F.lit(size))))
+    return df.withColumn("_cx", cells(x)).withColumn("_cy", cells(y))
 
 
 def prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
@@ -34,9 +34,10 @@ def near_join(left: DataFrame, right: DataFrame, radius: float, on: list[str], l
               rxy: tuple[str, str], extra: Column | None = None, how: str = "inner") -> DataFrame:
     """Rows of ``left`` and ``right`` equal on ``on`` and at most ``radius`` apart. ``right`` is the side
     that gets copied, so give the smaller one. Column names other than ``on`` must differ. ``extra`` is
-    evaluated inside the join, before pairs are produced."""
-    a = in_cells(left, *lxy, radius)
-    b = in_neighbour_cells(right, *rxy, radius)
+    evaluated inside the join, before pairs are produced. Cells are twice the radius wide, so a row is copied to
+    four of them on average."""
+    a = in_cells(left, *lxy, 2.0 * radius)
+    b = in_reached_cells(right, *rxy, 2.0 * radius, float(radius))
     b = b.select([F.col(c).alias("_r_" + c) if c in on + CELL else F.col(c) for c in b.columns])
     cond = (F.col(lxy[0]) - F.col(rxy[0])) * (F.col(lxy[0]) - F.col(rxy[0])) \
         + (F.col(lxy[1]) - F.col(rxy[1])) * (F.col(lxy[1]) - F.col(rxy[1])) <= F.lit(float(radius) ** 2)
