@@ -37,8 +37,7 @@ def analyze(frames: DataFrame, curve: DataFrame | K.FieldCurve, cfg: Settings =
 
     Beads are found and given depths, tracked, cleaned and recovered until nothing changes; tracks that are too short, dim, ghosts or satellites are split off, the rest
     is numbered, and the movies' drift is taken from it. Rejected rows and those removed while recovering are in ``rejected``. A movie without a bead has no rows."""
-    source = I.seed_average(frames, cfg.seed_sigma_frames) if cfg.seed_sigma_frames > 0 else frames
-    peaks = cut(I.detect_peaks(source, cfg))
+    peaks = cut(I.detect_peaks(frames, cfg, cfg.seed_sigma_frames))
     found = I.localize(frames, cfg, curve, camera=camera, place=place, peaks=peaks)
     depth = lambda rows: with_depths(rows, curve, limits)
     rows = cut(depth(found.withColumn("templateScore", F.lit(None).cast("double"))))
