@@ -6,8 +6,8 @@ one of ``CLASSES`` classes by its last two bytes, and the end is a symbol. A tex
 under the hidden chain (forward recursion, scaled at each token) times that of each rarer word within its class,
 (count + 0.5) / (class count + 0.5 * (class words + 1)).
 
-Training is Baum-Welch. The start is fitted on at most ``WARM_DOCS`` training texts in one task; then ``PASSES`` passes go over all
-training texts: each task adds up the expected starts, moves and emissions of its texts in segments of at most
+Training is Baum-Welch: ``PASSES`` passes go over all training texts, from a start that only knows the corpus frequencies
+of the symbols. Each task adds up the expected starts, moves and emissions of its texts in segments of at most
 ``SEGMENT`` tokens, Spark sums them by symbol, and the driver holds the sums, whose size is fixed. Emissions are
 smoothed towards the corpus frequencies of the symbols.
 
@@ -34,7 +34,7 @@ from moteflow.llm.common import LOWER, Flat, shards, utf8
 from moteflow.session import cut
 
 COMMON, CLASSES, STATES = 6_000, 256, 8
-WARM_DOCS, WARM_ROUNDS, PASSES, SEGMENT = 1_500, 15, 2, 256
+PASSES, SEGMENT = 6, 256
 PRIOR = 20.0
 TOGETHER, ROWS, PIECE = 200_000, 1_024, 2_000_000
 END = b""
@@ -173,17 +173,6 @@ def _first_chain(frequency: np.ndarray) -> Chain:
     return Chain(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=0))
 
 
-def _warm(frequency: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [p for b in batches for p in _segments(b["symbols"])]  # at most WARM_DOCS texts
-        chain = _first_chain(frequency)
-        for _ in range(WARM_ROUNDS if pieces else 0):
-            sums = [expectations(s, f, chain) for s, f in pieces]
-            chain = _improved(*(np.sum(x, axis=0) for x in zip(*sums, strict=True)), frequency)
-        yield pa.RecordBatch.from_arrays([pa.array([x.ravel().tolist()]) for x in (chain.start, chain.move, chain.emit)], ["start", "move", "emit"])
-    return run
-
-
 def _sums(chain: Chain):
     """(symbol, e): expected emissions; symbol -1 holds the starts and -2 - i the moves from state i."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,14 +187,9 @@ def _sums(chain: Chain):
     return run
 
 
-def train(coded: DataFrame, frequency: np.ndarray, n_texts: int) -> Chain:
-    """Baum-Welch over the training texts in ``coded(doc_id, symbols)``, of which there are ``n_texts``. The start takes those with the
-    smallest hashes of the id; rows far above them are left out before they meet in one task."""
-    near = coded.where(F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5) <= (1.2 * WARM_DOCS + 200) / max(n_texts, 1))
-    warm = near.orderBy(F.xxhash64("doc_id"), "symbols").limit(WARM_DOCS).select("symbols").coalesce(1)
-    coded = coded.select("symbols")
-    row = warm.mapInArrow(_warm(frequency), "start array<double>, move array<double>, emit array<double>").first()
-    chain = _first_chain(frequency) if row is None else Chain(np.array(row[0]), np.array(row[1]).reshape(STATES, STATES), np.array(row[2]).reshape(N_SYMBOLS, STATES))
+def train(coded: DataFrame, frequency: np.ndarray) -> Chain:
+    """Baum-Welch over all training texts in ``coded(symbols)``."""
+    chain = _first_chain(frequency)
     for _ in range(PASSES):
         schema = "symbol int, " + ", ".join(f"e{s} double" for s in range(STATES))
         rows = coded.mapInArrow(_sums(chain), schema).groupBy("symbol").agg(*[F.sum(f"e{s}").alias(f"e{s}") for s in range(STATES)]).toArrow()
@@ -268,7 +252,7 @@ def score_texts(docs: DataFrame, held: Column) -> DataFrame:
     fields = "uid long, doc_id {}, held boolean, tokens long, known long, base double, symbols binary, rare array<struct<word:binary,n:int>>"
     encoder = _encoder(common, logs, math.log10(n_ends + 0.5) - log_base, int(n_ends > 0))
     coded = cut(docs.mapInArrow(encoder, fields.format(docs.schema["doc_id"].dataType.simpleString())))
-    chain = train(coded.where("NOT held").select("doc_id", "symbols"), frequency, n_ends)
+    chain = train(coded.where("NOT held").select("symbols"), frequency)
 
     within = docs.sparkSession.createDataFrame([(c, math.log10(n + 0.5 * (v + 1))) for c in range(CLASSES) for n, v in [classes.get(c, (0, 0))]], "class int, within double")
     rare = coded.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", F.col("r.n").alias("times")) \

@@ -413,3 +413,19 @@ def test_pipeline_on_hostile_tables(spark, tmp_path):
     assert set(final.columns) == {*docs.columns, "copy", "shuffle_key"} and final.count() > 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_rows(spark), str(tmp_path)).count() == 0, name
+
+
+def test_hidden_markov_learns_from_every_text_alike(spark):
+    """The chain is that of plain Baum-Welch rounds over all texts; none of them makes a start of its own."""
+    r = np.random.default_rng(6)
+    m = hidden_markov.N_SYMBOLS
+    texts = [r.choice([3, 7, 11, 6100, m - 1], n).astype(np.int16) for n in r.integers(1, 40, 30)] + [r.integers(0, 50, 700).astype(np.int16)]
+    frequency = np.bincount(np.concatenate(texts), minlength=m) + 0.5
+    frequency /= frequency.sum()
+    coded = spark.createDataFrame([(t.tobytes(),) for t in texts], "symbols binary").repartition(3)
+    got = hidden_markov.train(coded, frequency)
+    pieces = [t[i : i + hidden_markov.SEGMENT] for t in texts for i in range(0, len(t), hidden_markov.SEGMENT)]
+    flat, chain = hidden_markov.Flat(np.array([len(p) for p in pieces])), hidden_markov._first_chain(frequency)
+    for _ in range(hidden_markov.PASSES):
+        chain = hidden_markov._improved(*hidden_markov.expectations(np.concatenate(pieces), flat, chain), frequency)
+    assert np.allclose(got.move, chain.move, rtol=1e-3) and np.allclose(got.emit, chain.emit, rtol=1e-3, atol=1e-9) and np.allclose(got.start, chain.start, rtol=1e-3)
