@@ -85,27 +85,36 @@ def _sq_dist(P: np.ndarray) -> np.ndarray:
     return (d * d).sum(-1)
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Groups over an explicit number of tasks: their rows are few bytes but much work, and adaptive execution would merge them into a task or two."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def fit_lengths(disp: DataFrame, spacing: DataFrame) -> DataFrame:
     """Length scale (shared by the components) and amplitudes per movie by marginal likelihood. ``disp`` holds one frame's
-    displacements per movie. Each candidate of length, component and amplitude is a task of its own; the amplitude is chosen
+    displacements per movie. Each movie and length is a group of its own, which tries the components and amplitudes; the amplitude is chosen
     per length and component, then the length by the sum over the components."""
-    each = lambda values, name: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
-    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col("u" + c).alias("u"), F.col("v" + c).alias("v")) for c in "xyz"]))
-    cand = disp.where("uz IS NOT NULL AND Z IS NOT NULL").join(spacing, "movie").select("movie", "track_number", "X", "Y", "Z", "spacing", parts.alias("_p")) \
-        .select("*", "_p.*", each(LENGTHS, "_f")).select("*", each(AMPLITUDES, "amplitude")).withColumn("ell", F.col("_f") * F.col("spacing")).drop("_p", "_f", "spacing")
+    lengths = F.explode(F.array(*[F.lit(v) for v in LENGTHS]))
+    cand = disp.where("uz IS NOT NULL AND Z IS NOT NULL").join(spacing, "movie") \
+        .select("movie", "track_number", "X", "Y", "Z", *[k + c for c in "xyz" for k in "uv"], "spacing", lengths.alias("_f")).withColumn("ell", F.col("_f") * F.col("spacing")).drop("_f", "spacing")
+    fields = ["movie", "ell", "axis", "amplitude", "s2", "lml"]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[:1][["movie", "ell", "axis", "amplitude"]]
-        if len(pdf) < MIN_BEADS:
-            return one.iloc[:0].assign(s2=0.0, lml=0.0)
-        pdf = pdf.sort_values("track_number")
-        u, v = pdf["u"].to_numpy(float), pdf["v"].to_numpy(float)
-        mid = np.sort(v)[len(v) // 2]
-        s2 = float(one["amplitude"].iat[0]) * max(u.var(ddof=1) - mid, 1e-6 * (1 + mid))
-        fit = _kriging(_sq_dist(pdf[["X", "Y", "Z"]].to_numpy(float)), u, v, float(one["ell"].iat[0]), s2)
-        return one.assign(s2=s2, lml=fit[2]) if fit else one.iloc[:0].assign(s2=0.0, lml=0.0)
-
-    fits = cand.groupBy("movie", "ell", "axis", "amplitude").applyInPandas(score, "movie string, ell double, axis string, amplitude double, s2 double, lml double")
+        out = []
+        if len(pdf) >= MIN_BEADS:
+            pdf = pdf.sort_values("track_number")
+            movie, ell, dist2 = pdf["movie"].iat[0], float(pdf["ell"].iat[0]), _sq_dist(pdf[["X", "Y", "Z"]].to_numpy(float))
+            for c in "xyz":
+                u, v = pdf["u" + c].to_numpy(float), pdf["v" + c].to_numpy(float)
+                mid = np.sort(v)[len(v) // 2]
+                for amplitude in AMPLITUDES:
+                    s2 = amplitude * max(u.var(ddof=1) - mid, 1e-6 * (1 + mid))
+                    fit = _kriging(dist2, u, v, ell, s2)
+                    if fit:
+                        out.append((movie, ell, c, amplitude, s2, fit[2]))
+        return pd.DataFrame(out, columns=fields)
+
+    fits = _spread(cand, "movie", "ell").groupBy("movie", "ell").applyInPandas(score, "movie string, ell double, axis string, amplitude double, s2 double, lml double")
     per = fits.groupBy("movie", "ell", "axis").agg(F.max_by("s2", F.struct("lml", -F.col("amplitude"))).alias("s2"), F.max("lml").alias("lml"))
     per = per.groupBy("movie", "ell").agg(F.count("*").alias("axes"), F.sum("lml").alias("lml"), *[F.max(F.when(F.col("axis") == c, F.col("s2"))).alias("s2" + c) for c in "xyz"])
     return per.where("axes = 3").groupBy("movie").agg(
@@ -165,7 +174,7 @@ def predict_field(beads: DataFrame, grid: DataFrame, weighted: bool) -> DataFram
             out[c] = np.concatenate([p[c] for p in parts])
         return out[[c.split()[0] for c in NODE_SCHEMA.split(", ")]]
 
-    return j.groupBy("movie", "frame_number").applyInPandas(kernel, NODE_SCHEMA)
+    return _spread(j, "movie", "frame_number").groupBy("movie", "frame_number").applyInPandas(kernel, NODE_SCHEMA)
 
 
 def strain(field: DataFrame) -> DataFrame:
