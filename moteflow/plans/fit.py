@@ -14,13 +14,12 @@ from moteflow.session import cut
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve(gram: pd.Series, rhs: pd.Series) -> pd.Series:
     """Solution of each row's normal equations (minimum norm when singular)."""
-    out = []
-    for g, b in zip(gram, rhs):
-        b = np.asarray(b, float)
-        a = np.asarray(g, float).reshape(len(b), len(b))
-        scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
-        out.append(np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=1e-13)[0] / scale)
-    return pd.Series(out)
+    return pd.Series([solve_normal(np.asarray(g, float).reshape(len(b), len(b)), np.asarray(b, float)) for g, b in zip(gram, rhs)])
+
+
+def solve_normal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+    return np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=1e-13)[0] / scale
 
 
 def fit_terms(df: DataFrame, keys: list[str], terms: list[Column], y: Column, weight: Column | None = None) -> DataFrame:
