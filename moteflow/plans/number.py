@@ -1,7 +1,9 @@
-"""Consecutive numbers within a group of any size."""
+"""Consecutive numbers within a group of any size, and numbers of tasks."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from moteflow.session import cut
@@ -26,3 +28,9 @@ def next_in_order(df: DataFrame, key: str, order: list[str], value: str, out: st
     heads = heads.select(key, "_pid", F.lead("_h").over(Window.partitionBy(key).orderBy("_pid")).alias("_h"))
     local = F.lead(value).over(Window.partitionBy(key, "_pid").orderBy(*order))
     return part.withColumn("_l", local).join(heads, [key, "_pid"]).withColumn(out, F.coalesce("_l", "_h")).drop("_pid", "_l", "_h")
+
+
+def shares(df: DataFrame, rows: int) -> int:
+    """Tasks of about ``rows`` rows, one for each core at least. For rows of few bytes but much work, which adaptive execution
+    would merge into one task unless their number is given."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows))

@@ -168,3 +168,22 @@ def test_matching_of_a_crowded_frame_takes_no_branching(monkeypatch):
             best_of[i, used] = max([upto(i + 1, used >> 1)] + ([] if used & 1 else [step[i, o] + upto(i + 1, (used | 1 << (o - i)) >> 1) for o in free]))
         return best_of[i, used]
     assert np.isclose(w[x].sum(), upto(0, 0))
+
+
+def test_clusters_around_one_node_need_no_solver(monkeypatch):
+    rng = np.random.default_rng(5)
+    hub, leaf = np.repeat(np.arange(40), 3), np.arange(120)
+    w = rng.integers(1, 4, 120).astype(float)
+    want = np.zeros(120, bool)
+    want[[3 * k + int(np.argmax(w[3 * k:3 * k + 3])) for k in range(40)]] = True
+    monkeypatch.setattr(N, "min_cost_rows", None)
+    assert (N.assign_edges(hub, leaf, w) == want).all() and (N.assign_edges(leaf, hub, w) == want).all()
+
+
+def test_undecided_edges_are_dealt_to_tasks_by_number(spark, monkeypatch):
+    monkeypatch.setattr(L, "EDGES_PER_TASK", 10)
+    edges = [("m", 2 * k + i, 2 * k + j, 1.0 + 0.1 * ((i + j + k) % 3)) for k in range(50) for i in (0, 1) for j in (0, 1)]
+    out = L.assign(spark.createDataFrame(edges, "movie string, aid long, bid long, cost double"), 64.0, None)
+    got = [(r.aid, r.bid) for r in out.collect()]
+    assert len(got) == len({a for a, _ in got}) == len({b for _, b in got}) == 100
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
