@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from moteflow.operators.linking import number_tracks, track_lap
 from moteflow.plans.graph import connected_components
 from moteflow.plans.kernels import assign_edges, gated_pairs
+from moteflow.plans.number import shares
 from moteflow.plans.spatial import near_join
 from moteflow.session import cut
 from moteflow.settings import DEFAULTS, Settings
@@ -129,62 +130,75 @@ class NearestLinker(KalmanLinker):
 
 
 def stream_islands(cfg: Settings, make: Callable, emit_predictions: bool):
-    """Iterator function for mapInPandas over rows sorted by (movie, island, frame): keeps one linker and
-    one frame of rows at a time."""
+    """Iterator function for mapInPandas over rows sorted by (movie, island, frame): keeps one linker, one batch
+    of rows and what they gave, as arrays; a frame of an island is a slice of them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = {"key": None, "linker": None, "frame": None}
-        out: list[pd.DataFrame] = []
+        key, linker, last = None, None, 0
+        out: list[tuple] = []  # movie, island, frame, rows or None, first rows, then places and gates of predictions
 
         def predictions(frame: int) -> None:
-            k = state["linker"]
-            if emit_predictions and len(k.pos):
-                out.append(pd.DataFrame({"movie": state["key"][0], "island": state["key"][1], "frame_number": frame,
-                                         "row_id": None, "first_row": k.first, "px": k.pos[:, 0], "py": k.pos[:, 1], "gate": k.gates()}))
+            if emit_predictions and len(linker.pos):
+                out.append((*key, frame, None, linker.first, linker.pos[:, 0].copy(), linker.pos[:, 1].copy(), linker.gates()))
 
         def empty_frames(n: int) -> None:
             for i in range(min(n, cfg.max_frame_gap)):
-                if not len(state["linker"].pos):
+                if not len(linker.pos):
                     break
-                state["linker"].advance()
-                predictions(state["frame"] + 1 + i)
-                state["linker"].finish(np.zeros(0, int))
-
-        def frame_rows(key, frame, g: pd.DataFrame) -> None:
-            if key != state["key"]:
-                if state["linker"] is not None:
+                linker.advance()
+                predictions(last + 1 + i)
+                linker.finish(np.zeros(0, int))
+
+        def step(of: tuple, frame: int, ids: np.ndarray, x: np.ndarray, y: np.ndarray, turn: np.ndarray) -> None:
+            nonlocal key, linker, last
+            if of != key:
+                if linker is not None:
                     empty_frames(cfg.max_frame_gap)
-                state.update(key=key, linker=make(cfg), frame=frame)
+                key, linker = of, make(cfg)
             else:
-                empty_frames(frame - state["frame"] - 1)
-                state["linker"].advance()
+                empty_frames(frame - last - 1)
+                linker.advance()
                 predictions(frame)
-            ids = g["row_id"].to_numpy(np.int64)
-            label = state["linker"].step(g["xMean"].to_numpy(float), g["yMean"].to_numpy(float), g["angleDegrees"].to_numpy(float), ids)
-            state["frame"] = frame
-            out.append(pd.DataFrame({"movie": key[0], "island": key[1], "frame_number": frame, "row_id": ids, "first_row": label,
-                                     "px": np.nan, "py": np.nan, "gate": np.nan}))
+            out.append((*of, frame, ids, linker.step(x, y, turn, ids), None, None, None))
+            last = frame
+
+        def table() -> pd.DataFrame:
+            n = [len(r[4]) for r in out]
+            ids = np.concatenate([np.zeros(len(r[4]), np.int64) if r[3] is None else r[3] for r in out])
+            found = np.repeat([r[3] is not None for r in out], n)
+            none = [np.full(k, np.nan) for k in n]
+            made = {f: np.repeat(np.array([r[k] for r in out], t), n) for k, (f, t) in enumerate((("movie", object), ("island", np.int64), ("frame_number", np.int32)))}
+            made |= {"row_id": pd.arrays.IntegerArray(ids, ~found), "first_row": np.concatenate([r[4] for r in out])}
+            made |= {f: np.concatenate([none[i] if r[k] is None else r[k] for i, r in enumerate(out)]) for k, f in ((5, "px"), (6, "py"), (7, "gate"))}
+            out.clear()
+            return pd.DataFrame(made)
 
         held = None
         for pdf in batches:
+            if not len(pdf):
+                continue
+            now = [pdf["movie"].to_numpy()] + [pdf[c].to_numpy(np.int64) for c in ("island", "frame_number", "row_id")] + [pdf[c].to_numpy(float) for c in ("xMean", "yMean", "angleDegrees")]
             if held is not None:
-                pdf = pd.concat([held, pdf])
-            groups = list(pdf.groupby(["movie", "island", "frame_number"], sort=False))
-            for (m, i, f), g in groups[:-1]:
-                frame_rows((m, i), int(f), g)
-            held = groups[-1][1] if groups else None  # the last frame may go on in the next batch
+                now = [np.concatenate(c) for c in zip(held, now)]
+            m, isl, fr, ids, x, y, turn = now
+            at = np.flatnonzero(np.r_[True, (isl[1:] != isl[:-1]) | (fr[1:] != fr[:-1]) | (m[1:] != m[:-1])])
+            held = [c[at[-1]:] for c in now]  # the last frame may go on in the next batch
+            for lo, hi in zip(at[:-1], at[1:]):
+                step((m[lo], isl[lo]), int(fr[lo]), ids[lo:hi], x[lo:hi], y[lo:hi], turn[lo:hi])
             if out:
-                yield pd.concat(out)[[f.name for f in OUT.fields]].astype({"row_id": "Int64", "first_row": "Int64"})
-                out.clear()
+                yield table()
         if held is not None:
-            frame_rows((held["movie"].iloc[0], held["island"].iloc[0]), int(held["frame_number"].iloc[0]), held)
+            step((held[0][0], held[1][0]), int(held[2][0]), *held[3:])
             empty_frames(cfg.max_frame_gap)
-            yield pd.concat(out)[[f.name for f in OUT.fields]].astype({"row_id": "Int64", "first_row": "Int64"})
+            yield table()
     return run
 
 
+ROWS_PER_TASK = 20_000
+
+
 def _run(rows: DataFrame, cfg: Settings, make: Callable, emit: bool) -> DataFrame:
     ordered = rows.select("movie", "island", "frame_number", "row_id", "xMean", "yMean", F.coalesce("angleDegrees", F.lit(0.0)).alias("angleDegrees")) \
-        .repartition("movie", "island").sortWithinPartitions("movie", "island", "frame_number", "row_id")
+        .repartition(shares(rows, ROWS_PER_TASK), "movie", "island").sortWithinPartitions("movie", "island", "frame_number", "row_id")
     return cut(ordered.mapInPandas(stream_islands(cfg, make, emit), OUT))
 
 
@@ -195,7 +209,7 @@ def _labelled(rows: DataFrame, out: DataFrame) -> DataFrame:
 
 def track_nearest(rows: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Islands of the gap gate never interact, so the result is that of the whole movie."""
-    return _labelled(rows, _run(islands(rows, cfg.gap_distance_px), cfg, NearestLinker, False))
+    return _labelled(rows, _run(cut(islands(rows, cfg.gap_distance_px)), cfg, NearestLinker, False))
 
 
 def track_kalman(rows: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

@@ -187,3 +187,24 @@ def test_undecided_edges_are_dealt_to_tasks_by_number(spark, monkeypatch):
     got = [(r.aid, r.bid) for r in out.collect()]
     assert len(got) == len({a for a, _ in got}) == len({b for _, b in got}) == 100
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_islands_are_streamed_without_a_table_for_each_frame(monkeypatch):
+    import types
+
+    import pandas as pd
+    from moteflow.settings import DEFAULTS
+    rng = np.random.default_rng(6)
+    recs = [("m", isl, f, 1000 * isl + 10 * f + k, 50.0 * isl + 3 * k + rng.normal(0, 0.5), 5.0 * k + rng.normal(0, 0.5), 10.0)
+            for isl in (1, 2) for f in range(1, 40) for k in range(3) if f % 11]
+    pdf = pd.DataFrame(recs, columns=["movie", "island", "frame_number", "row_id", "xMean", "yMean", "angleDegrees"])
+    made = []
+    monkeypatch.setattr(K, "pd", types.SimpleNamespace(DataFrame=lambda d: made.append(1) or pd.DataFrame(d), arrays=pd.arrays, concat=pd.concat))
+    got = []
+    for size in (1, 7, len(pdf)):
+        parts = [pdf.iloc[i:i + size] for i in range(0, len(pdf), size)]
+        before = len(made)
+        got.append(pd.concat(K.stream_islands(DEFAULTS, K.KalmanLinker, True)(iter(parts)), ignore_index=True))
+        assert len(made) - before <= len(parts) + 1
+        assert got[-1].equals(got[0]) and list(got[-1].columns) == K.OUT.fieldNames()
+    assert sorted(got[0]["row_id"].dropna()) == sorted(pdf["row_id"]) and got[0]["px"].notna().sum() > 0
