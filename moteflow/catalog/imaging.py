@@ -145,12 +145,11 @@ def camera_windows(spark, sf):
     cam = V.table(spark, sf, "events").select(F.expr("event_id div 100").alias("y"), (e % 100).alias("x"), (F.lit(100.0) + (e * 7 % 13) / F.lit(3.0)).alias("offset"),
                                               (F.lit(1.0) + (e * 11 % 17) / F.lit(5.0)).alias("variance"), (F.lit(0.8) + (e * 3 % 5) / F.lit(10.0)).alias("gain"))
     mid = {c: F.floor(F.col(f"{c}Mean")) for c in "xy"}
-    w = V.loc(spark, sf).select("movie", "row_id", F.col("row_id").cast("string").alias("window"), *[F.greatest(mid[c] - 9, F.lit(0)).alias(c + "0") for c in "xy"], *[(mid[c] + 9).alias(c + "1") for c in "xy"])
+    w = cut(V.loc(spark, sf).select("movie", "row_id", *[F.greatest(mid[c] - 9, F.lit(0)).alias(c + "0") for c in "xy"], *[(mid[c] + 9).alias(c + "1") for c in "xy"]))
     total = lambda f: F.aggregate("camera", F.lit(0.0), lambda s, p: s + F.aggregate(f(p), F.lit(0.0), lambda t, v: t + v))
     weight = lambda p: F.transform(p["offset"], lambda v, i: v * (p["x"] - F.col("x0") + i % p["wide"] + 1) * (p["y"] - F.col("y0") + F.floor(i / p["wide"]) + 1))
-    out = I.window_camera(w, cam, (3, 5)).select("movie", "row_id", F.col("camera").isNotNull().alias("on_sensor"), total(lambda p: p["offset"]).alias("offsets"),
-                                                 total(lambda p: p["variance"]).alias("variances"), total(lambda p: p["gain"]).alias("gains"), total(weight).alias("placed"))
-    return out.withColumns({c: F.round(c, 4) for c in ("offsets", "variances", "gains")}).withColumn("placed", F.round("placed", 2))
+    sums = I.camera_places(w, cam, (3, 5)).select(*I.CORNERS, *[F.round(total(lambda p, c=c: p[c]), 4).alias(c + "s") for c in ("offset", "variance", "gain")], F.round(total(weight), 2).alias("placed"))
+    return w.join(sums, I.CORNERS, "left").select("movie", "row_id", F.col("offsets").isNotNull().alias("on_sensor"), "offsets", "variances", "gains", "placed")
 
 
 @register("localized_beads")
