@@ -59,15 +59,13 @@ def recent_inputs(spark, sf):
 
 
 @register("sidecar_matches", """WITH m AS (SELECT p_partkey, p_name || '_' || p_size AS base FROM part), s AS (SELECT ps_key, base AS sbase FROM (SELECT p_partkey AS ps_key, p_name || '_' || substr(CAST(p_size AS VARCHAR), 1, 1) || CASE WHEN p_partkey % 3 = 0 THEN '1' ELSE '' END AS base FROM part))
-, mf AS (SELECT base, min(p_partkey) AS m FROM m WHERE base IS NOT NULL GROUP BY base), sf AS (SELECT sbase, min(ps_key) AS s FROM s WHERE sbase IS NOT NULL GROUP BY sbase)
- SELECT 'movie' AS kind, p_partkey AS a, m AS b FROM m JOIN mf USING (base) UNION ALL SELECT 'sidecar', ps_key, s FROM s JOIN sf USING (sbase)
- UNION ALL SELECT 'match', m, s FROM mf JOIN sf ON starts_with(base, sbase) OR starts_with(sbase, base)""")
+ SELECT DISTINCT p_partkey, ps_key FROM m JOIN s ON starts_with(base, sbase) OR starts_with(sbase, base)""")
 def sidecar_matches(spark, sf):
-    """Part names as movie names, and as names of metadata files by a shorter number: members of each name and matches between names."""
+    """Part names as movie names, and as names of metadata files by a shorter number: every movie with each file that matches."""
     p = V.table(spark, sf, "part")
     m = p.select("p_partkey", F.concat("p_name", F.lit("_"), F.col("p_size").cast("string")).alias("base"))
     s = p.select(F.col("p_partkey").alias("ps_key"), F.concat(F.col("p_name"), F.lit("_"), F.substring(F.col("p_size").cast("string"), 1, 1), F.when(F.col("p_partkey") % 3 == 0, "1").otherwise("")).alias("base"))
-    return S.match_sidecars(m, s, "p_partkey", "ps_key")
+    return S.sidecar_pairs(m, s, "p_partkey", "ps_key")
 
 
 @register("merged_settings", """WITH s AS (SELECT 'c' || c_custkey AS movie, 'min_snr' AS key, '4.0' AS value, 0 AS priority FROM customer UNION ALL SELECT 'c' || c_custkey, 'min_snr', CAST(c_nationkey AS VARCHAR), 1 FROM customer WHERE c_mktsegment = 'BUILDING'

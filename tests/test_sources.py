@@ -82,3 +82,20 @@ def test_sidecars_match_names_once(spark):
     assert of["movie"] == {k: k % 3 for k in range(30)} | {91: 91} and of["sidecar"] == {k: k % 2 for k in range(40)} | {95: 95, 96: 96}
     want = {(m, s) for m, a in movies for s, b in files if a and b and (a.startswith(b) or b.startswith(a))}
     assert {(m, s) for m in of["movie"] for s in of["sidecar"] if (of["movie"][m], of["sidecar"][s]) in set(match)} == want and len(match) == len(set(match)) == 6
+
+
+@pytest.mark.parametrize("share", [3, 1000])
+def test_every_movie_meets_every_matching_sidecar(spark, share):
+    """All pairs, also of names that many share, once each where an id has several names or an id is missing."""
+    movies = [(k, f"cell_{k % 3}1") for k in range(30)] + [(90, None), (91, "c"), (3, "cell_0"), (3, "cell_01"), (None, "cell_11"), (None, "cell_1")]
+    files = [(k, f"cell_{k % 2}") for k in range(40)] + [(95, "cell_11_info"), (96, "other"), (97, None), (5, "cell_11")]
+    got = S.sidecar_pairs(spark.createDataFrame(movies, "m long, base string"), spark.createDataFrame(files, "s long, base string"), "m", "s", share).collect()
+    want = {(m, s) for m, a in movies for s, b in files if a and b and (a.startswith(b) or b.startswith(a))}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 400
+
+
+def test_sidecar_query_gives_the_pairs(spark, sf):
+    from moteflow.catalog.catalogue import sidecar_matches
+    p = [(r.p_partkey, f"{r.p_name}_{r.p_size}", f"{r.p_name}_{str(r.p_size)[:1]}{'1' if r.p_partkey % 3 == 0 else ''}") for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    want = sorted((a, c) for a, m, _ in p for c, _, s in p if m.startswith(s) or s.startswith(m))
+    assert sorted(tuple(r) for r in sidecar_matches(spark, sf).select("p_partkey", "ps_key").collect()) == want
